@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import mixing, tokens
+from . import linkage, mixing, tokens
+
+
+def p3_links(spark: SparkSession, folder: str) -> DataFrame:
+    """The invoice that each register row books, with the confidence."""
+    return linkage.link(table(spark, folder, "purchase_register"), table(spark, folder, "gstr2b_prior_period"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_links(spark, folder).select("invoice_id", "pr_record_id")
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,5 +36,5 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder).shares()
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_drawn": p7_drawn, "p7_shares": p7_shares}
+QUERIES = {"p3_found": p3_found, "p3_links": p3_links, "p6_ids": p6_ids, "p7_drawn": p7_drawn, "p7_shares": p7_shares}
 SQL: dict[str, str] = {}
