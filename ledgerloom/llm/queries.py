@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import linkage, mixing, tokens
+from . import linkage, mixing, names, tokens
 
 
 def p3_links(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,6 +17,16 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_links(spark, folder).select("invoice_id", "pr_record_id")
 
 
+def p4_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vendor spelling with the organisation it belongs to."""
+    return names.resolve(table(spark, folder, "gstr2b_prior_period"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of spellings of one organisation."""
+    return names.spelling_pairs(p4_clusters(spark, folder))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode_corpus(table(spark, folder, "documents"))
@@ -36,5 +46,5 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder).shares()
 
 
-QUERIES = {"p3_found": p3_found, "p3_links": p3_links, "p6_ids": p6_ids, "p7_drawn": p7_drawn, "p7_shares": p7_shares}
+QUERIES = {"p3_found": p3_found, "p3_links": p3_links, "p4_found": p4_found, "p4_clusters": p4_clusters, "p6_ids": p6_ids, "p7_drawn": p7_drawn, "p7_shares": p7_shares}
 SQL: dict[str, str] = {}
