@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import linkage, mixing, names, tokens
+from . import linkage, mixing, names, pii, tokens
 
 
 def p3_links(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,5 +46,15 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder).shares()
 
 
-QUERIES = {"p3_found": p3_found, "p3_links": p3_links, "p4_found": p4_found, "p4_clusters": p4_clusters, "p6_ids": p6_ids, "p7_drawn": p7_drawn, "p7_shares": p7_shares}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal details of every document."""
+    return pii.find_details(table(spark, folder, "documents"))
+
+
+def p8_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with placeholders instead of personal details. A deployment passes its own secret."""
+    return pii.replace_details(table(spark, folder, "documents"), b"registered query")
+
+
+QUERIES = {"p3_found": p3_found, "p3_links": p3_links, "p4_found": p4_found, "p4_clusters": p4_clusters, "p6_ids": p6_ids, "p7_drawn": p7_drawn, "p7_shares": p7_shares, "p8_found": p8_found, "p8_texts": p8_texts}
 SQL: dict[str, str] = {}
