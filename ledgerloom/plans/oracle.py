@@ -71,9 +71,16 @@ union all select k, 'missing_in_prior' from b where k not in (select k from a)
     for c in ("taxable_value", "cgst", "sgst", "igst")
 )
 
-SQL: dict[str, str] = {
+P_SQL: dict[str, str] = {
     "p1_found": P1,
     "p1_by_snapshot": f"select gstr2b_period, count(*) filter (change = 'added') as added, count(*) filter (change = 'removed') as removed,"
     f" count(*) filter (change = 'changed') as changed from ({P1}) group by 1",
     "p5_found": P5,
 }
+
+
+def all_sql() -> dict[str, str]:
+    """SQL of all core queries that SQL can express."""
+    from . import ledger_oracle
+
+    return P_SQL | ledger_oracle.SQL

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import copydiff, snapshots, validate
 from ..sources.tables import FILING_COLUMNS, SOURCES, table
+from . import ledger_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,4 +58,4 @@ QUERIES: dict[str, Query] = {
     "p2_found": p2_found,
     "p2_loaded": p2_loaded,
     "p5_found": p5_found,
-}
+} | ledger_queries.QUERIES
