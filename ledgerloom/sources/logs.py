@@ -68,7 +68,7 @@ class Log:
         names = [f.name for f in T.StructType.fromDDL(self.schema)]
         rows = rows.select(*[F.col(n) if n in rows.columns else F.lit(None).alias(n) for n in names])
         rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in T.StructType.fromDDL(self.schema)])
-        if "seq" not in names:
+        if "run_sequence" in names:
             twice = rows.groupBy("run_id", "record_id").agg(F.count("*").alias("n")).where("n > 1")
             known = rows.join(self.read(ALL_RUNS).select("run_id", "record_id"), ["run_id", "record_id"], "left_semi")
             if not twice.isEmpty() or not known.isEmpty():
@@ -88,7 +88,7 @@ class Log:
 
     def history(self, record_id: str) -> DataFrame:
         """All rows of a record in the order of runs."""
-        return self.read(ALL_RUNS).where(F.col("record_id") == record_id).orderBy(*[c for c in ("run_sequence", "seq") if c in self.schema])
+        return self.read(ALL_RUNS).where(F.col("record_id") == record_id).orderBy("run_sequence" if "run_sequence" in self.schema else "seq")
 
     def purge(self) -> None:
         """Delete the log; for tests."""
