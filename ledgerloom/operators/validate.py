@@ -138,7 +138,7 @@ def load_lines(lines: DataFrame, columns: Sequence[str], line: str = "raw_line")
     out = parse.staged(out, {"_shape": shape})
     out = parse.staged(out, {"_fields": F.when(F.col("_shape").isNull(), csv_fields(F.col("_text"), n))})
     cells = F.when(F.col("_shape").isNull(), F.struct(*[F.get("_fields", F.lit(i)).alias(c) for i, c in enumerate(columns)]))
-    return _judge(parse.staged(out, {"cells": cells})).drop("_text", "_outline", "_fields")
+    return _judge(parse.staged(out, {"cells": cells}), columns).drop("_text", "_outline", "_fields")
 
 
 _JSON_STRICT = {
@@ -168,12 +168,13 @@ def load_snapshots(rows: DataFrame, columns_of: dict[str, Sequence[str]], source
     shape = F.when(F.col("_map").isNull(), F.lit(BROKEN_JSON)).when(~F.coalesce(keys == expected, F.lit(False)), F.lit(COLUMN_COUNT))
     cells = F.struct(*[F.try_element_at("_map", F.lit(c)).alias(c) for c in names])
     out = parse.staged(out, {"_shape": shape})
-    return _judge(parse.staged(out, {"cells": F.when(F.col("_shape").isNull(), cells)})).drop("_map")
+    return _judge(parse.staged(out, {"cells": F.when(F.col("_shape").isNull(), cells)}), names).drop("_map")
 
 
-def _judge(rows: DataFrame) -> DataFrame:
+def _judge(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     shape = F.struct(F.col("_shape").alias("error_type"), F.lit("row isn't laid out as a record").alias("message"), F.lit(None).cast("string").alias("field"))
-    ready = prepare(rows, lambda n: F.col("cells")[n])
+    # A field that the columns lack is blank in every row.
+    ready = prepare(rows, lambda n: F.col("cells")[n] if n in columns else F.lit(None).cast("string"))
     errors = F.when(F.col("_shape").isNotNull(), F.array(shape)).otherwise(error_array())
     return _unprepared(parse.staged(ready, {"errors": errors})).drop("_shape")
 
