@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import parse, text
-from ..session import cut
+from ..session import cut, store
 
 # Points, bands and floor of the score.
 INVOICE_EQUAL, INVOICE_CLOSE, INVOICE_FROM = 40.0, 8.0, 0.85
@@ -35,6 +35,11 @@ def keyed(records: DataFrame, record_id: str = "record_id") -> DataFrame:
     return out.withColumn("holder", F.when(F.length("gstin") == 15, parse.pan("gstin")))
 
 
+def prepared(records: DataFrame, record_id: str = "record_id") -> DataFrame:
+    """keyed, written to the shared folder: eight kinds of keys and the scores read it, none of them parses again."""
+    return store(keyed(records, record_id))
+
+
 def _key(kind: int, *parts: Column) -> Column:
     known = reduce(lambda x, y: x & y, [p.isNotNull() for p in parts])
     return F.when(known, F.xxhash64(F.lit(kind), *[p.cast("string") for p in parts]))
@@ -206,7 +211,7 @@ class Matching:
 
 def match(left: DataFrame, right: DataFrame, min_score: float = MIN_SCORE) -> Matching:
     """Match two normalised ledgers. Record ids must be unique on each side; ValueError if they aren't."""
-    l, r = keyed(left), keyed(right)  # noqa: E741
+    l, r = prepared(left), prepared(right)  # noqa: E741
     for name, side in (("left", l), ("right", r)):
         if not side.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").isEmpty():
             raise ValueError(f"record ids of the {name} ledger aren't unique")
