@@ -39,7 +39,7 @@ def test_gate_and_rules(spark):
     rs = rules.load({"version": "t", "rules": [{"rule_id": "A", "category": "a", "when": "abs(evidence.amount.delta) > 1", "reason": "'amount'"}, {"rule_id": "B", "category": "b", "when": "true"}], "checks": [{"kind": "deadline", "check_id": "due", "since": "date'2026-06-01'", "until": "date'2026-06-08'", "days": 7}, {"kind": "group_sum", "check_id": "sum", "key": "right_id", "amount": "75000.00", "limit": 75000}]})
     d = confidence.decide(confidence.score(rules.with_checks(rules.classify(compared(spark, ledger(), ledger(taxable_value="5")), rs), rs)), 80.25)
     r = d.select("*", rules.flag("due").alias("due")).collect()[0]
-    assert (r["outcome"], r["classification"]["rule_id"], r["due"]["status"], r["flags"][1]["status"]) == ("classified_exception", "A", "inside_window" if False else "within_window", "within_threshold")
+    assert (r["outcome"], r["classification"]["rule_id"], r["due"]["status"], r["flags"][1]["status"]) == ("classified_exception", "A", "within_window", "within_threshold")
     clean = confidence.decide(confidence.score(rules.classify(compared(spark, ledger(), ledger()), rs)), 80.25)
     assert clean.collect()[0]["outcome"] == "auto_reconcile"
     assert {x["outcome"]: x["n"] for x in confidence.outcome_counts(clean).collect()} == {"auto_reconcile": 1, "classified_exception": 0, "indeterminate": 0}

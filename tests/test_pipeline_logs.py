@@ -66,7 +66,7 @@ def test_run_and_logs(spark, sides, tmp_path):
 def test_differences(spark, sides):
     one, two = pipeline.run(*sides), pipeline.run(*sides, threshold=101.0)
     changed, fields = pipeline.differences(one, two)
-    assert changed.count() == 10 + (changed.count() - 10) and changed.count() >= 10 and fields.count() == 0
+    assert changed.count() >= 10 and fields.count() == 0
     assert pipeline.fingerprint(one) != pipeline.fingerprint(two)
 
 
