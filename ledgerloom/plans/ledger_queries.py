@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import gstin, parse, text
 from ..operators import confidence, evidence, matching, normalize, rules, validate
+from ..session import store
 from ..sources.tables import FILING_COLUMNS, as_source, table
 from . import report
 
@@ -39,22 +40,24 @@ def _sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return v.where("source = 'purchase_register'"), v.where("source = 'gstr2b'")
 
 
-def _by_number(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pairs, left, right): each register row with the first filed record of the same invoice number, if any."""
-    l, r = _sides(spark, folder)  # noqa: E741
-    first = r.groupBy("invoice_id").agg(F.min("record_id").alias("right_id"))
-    return l.select(F.col("record_id").alias("left_id"), "invoice_id").join(first, "invoice_id", "left").select("left_id", "right_id"), l, r
+def _matched(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(matches, left, right) of the one-to-one match, as pipeline.run has them. The cells that matching and evidence read are
+    written once, so that neither parses again."""
+    cells = ["source", "record_id", "invoice_id", "vendor_gstin", "vendor_name", "taxable_value", "invoice_date", "igst", "cgst", "sgst"]
+    v = store(_valid(spark, folder).select(*cells))
+    l, r = v.where("source = 'purchase_register'"), v.where("source = 'gstr2b'")  # noqa: E741
+    return matching.match(l, r).matches, l, r
 
 
 def _evidence(spark: SparkSession, folder: str) -> DataFrame:
-    return evidence.compare(*_by_number(spark, folder))
+    return evidence.compare(*_matched(spark, folder))
 
 
 RULES = rules.load(
     {
         "version": "registered",
         "rules": [
-            {"rule_id": "N1", "category": "no_counterpart", "when": "not found", "reason": "'no record of this number'"},
+            {"rule_id": "N1", "category": "no_counterpart", "when": "not found", "reason": "'no filed record is assigned'"},
             {"rule_id": "N2", "category": "other_holder", "when": "substring(evidence.gstin.left_value, 3, 10) <> substring(evidence.gstin.right_value, 3, 10)", "reason": "'holder differs'"},
             {"rule_id": "N3", "category": "amount_differs", "when": "abs(evidence.amount.delta) > 1.00", "reason": "concat('amount differs by ', cast(evidence.amount.delta as string))"},
         ],
