@@ -40,17 +40,18 @@ def _sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return v.where("source = 'purchase_register'"), v.where("source = 'gstr2b'")
 
 
-def _matched(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(matches, left, right) of the one-to-one match, as pipeline.run has them. The cells that matching and evidence read are
+def _matched(spark: SparkSession, folder: str) -> tuple[matching.Matching, DataFrame, DataFrame]:
+    """(match, left, right) of the one-to-one match, as pipeline.run has them. The cells that matching and evidence read are
     written once, so that neither parses again."""
     cells = ["source", "record_id", "invoice_id", "vendor_gstin", "vendor_name", "taxable_value", "invoice_date", "igst", "cgst", "sgst"]
     v = store(_valid(spark, folder).select(*cells))
     l, r = v.where("source = 'purchase_register'"), v.where("source = 'gstr2b'")  # noqa: E741
-    return matching.match(l, r).matches, l, r
+    return matching.match(l, r), l, r
 
 
 def _evidence(spark: SparkSession, folder: str) -> DataFrame:
-    return evidence.compare(*_matched(spark, folder))
+    found, l, r = _matched(spark, folder)  # noqa: E741
+    return evidence.compare(found.matches, l, r)
 
 
 RULES = rules.load(
@@ -137,9 +138,9 @@ def assigned_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def unmatched_filings(spark: SparkSession, folder: str) -> DataFrame:
-    """Valid filed records whose number no valid register row has."""
-    l, r = _sides(spark, folder)  # noqa: E741
-    return r.join(l.select("invoice_id"), "invoice_id", "left_anti").select("record_id", "invoice_id")
+    """Valid filed records that the one-to-one match leaves over."""
+    found, _, r = _matched(spark, folder)
+    return r.join(found.unmatched.select(F.col("right_id").alias("record_id")), "record_id", "left_semi").select("record_id", "invoice_id")
 
 
 def in_earlier_snapshot(spark: SparkSession, folder: str) -> DataFrame:

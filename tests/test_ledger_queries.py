@@ -45,3 +45,8 @@ def test_queries_take_the_assigned_pairs(spark, written):
     assert {r["left_id"] for r in ledger_queries.decisions(spark, folder).where("rule_id = 'N1'").collect()} == set(left) - set(pairs)
     queue = [r["left_id"] for r in ledger_queries.review_queue(spark, folder).orderBy("place").collect()]
     assert [k in pairs for k in queue] == sorted((k in pairs for k in queue), reverse=True)
+
+
+def test_unmatched_filings_are_those_left_over(spark, written):
+    folder, _, right, pairs = written
+    assert sorted(r["record_id"] for r in ledger_queries.unmatched_filings(spark, folder).collect()) == sorted(set(right) - set(pairs.values()))
