@@ -33,7 +33,9 @@ def snapshot_changes(
     Rows are first reduced to one hash per key and snapshot on the map side, so a key that repeats without end weighs
     no more than any other; a window then holds at most one row per delivered snapshot.
     """
-    named = rows.select(key.alias("k"), snapshot.alias("s"), F.xxhash64(*values).alias("h")).where("s is not null")
+    # The hash skips nulls, so which values are null goes into it too.
+    nulls = [v.isNull() for v in values]
+    named = rows.select(key.alias("k"), snapshot.alias("s"), F.xxhash64(*values, *nulls).alias("h")).where("s is not null")
     # One row per delivered snapshot, however large the table is.
     order = (
         named.select("s").distinct().select("s", F.row_number().over(Window.orderBy("s")).alias("i"), F.lead("s").over(Window.orderBy("s")).alias("next_s"))

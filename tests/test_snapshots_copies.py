@@ -41,6 +41,13 @@ def test_filing_changes_typed(spark):
     assert [tuple(r) for r in snapshots.changes_by_snapshot(snapshots.filing_changes(df)).collect()] == [("2026-03", 0, 0, 1)]
 
 
+def test_values_that_move_to_a_blank_field(spark):
+    first = ledger(gstr2b_period="2026-01", cgst="9000", sgst="")
+    moved = first | {"gstr2b_period": "2026-02", "cgst": "", "sgst": "9000"}
+    got = snapshots.filing_changes(frame(spark, [first, moved, moved | {"gstr2b_period": "2026-03"}], FILING_COLUMNS))
+    assert [tuple(r) for r in got.collect()] == [("2026-02", "INV-2604-00001", "changed")]
+
+
 def test_presence_bitmaps():
     rng = np.random.default_rng(1)
     for n in (1, 64, 65, 1000):
