@@ -108,15 +108,24 @@ _AFTER = re.compile(r"^(?:\s*<[^>]*@|\s*[(\[<]?\s*$|\s+(?:saw|said|says|asked|wr
 _HEADER = re.compile(r"^\W{0,4}(?:(?:Author|Commit|Committer|From|User|To|Cc)\b\s*:?\s*|[A-Z][A-Za-z]+(?:-[a-z]+)*-[Bb]y\s*:\s*)$")
 _LEAD_OTHER = re.compile(rf"(?:^|[\"'>:,(\s])({_OTHER})\s*(?=$|[:/<,;(（\"'])")
 
-# What a line shows that may hold a detail, each as one linear-time expression (RE2). A closer look follows only for
-# what a line shows.
+# What a line shows that may hold a detail, each as one linear-time expression (RE2) that admits at least the lines its
+# close reading takes; RE2 knows only ASCII white space and digits by itself. A closer look follows only for what a line shows.
+_S = r"[\s\v\x1c-\x1f\x{85}\p{Z}]"
+_WITHIN = r"[^\x00-&(-,.-@\[-`{-\x7f]"  # what a part of a name may hold: no ASCII but letters, ' and -
+_ID_CUE = (
+    r"(?:ssn|nino|dni|nie|nir|cpf|cnpf|bsn|pesel|tfn|sin|curp)[^a-z]|pan(?:[^a-z]|n|c)|social|aad|passport|pasaporte|passeport|reisepass|ni[ _]n|insurance|"
+    r"national[ _]id|steuer|tax[ _]id|codice|voter|driving|sécurité|паспорт|снилс"
+).replace("i", "[iıİ]")
 _CUES = {
-    "mail": r"[A-Za-z0-9_]@[A-Za-z0-9]|[\[({<] ?(?i:at) ?[\])}>]| (?i:dot) ",
-    "phone": r"\+[1-9]\d{0,2}[ (./-]*\d[\d ()./-]{6}|(?:^|[^\w.+/-])(?:00 ?[1-9][\d ().-]{7}|[2-9]\d\d[ .-][2-9]\d\d[.-]\d{4}|\([2-9]\d\d\) ?[2-9]\d\d[.-]\d{4}|\(0\d{1,4}\) ?\d{3}|0\d{2,4}[/ -]\d{3})",
-    "id": r"(?i:\bssn\b|social|aadh|\bpan\b|pan[_-]?n|passport|pasaporte|passeport|reisepass|nino\b|\bni[ _]n|insurance|national[ _]id|steuer|tax[ _]id|\bdni\b|\bnie\b|\bnir\b|\bcpf\b|\bcnpf\b|\bbsn\b|pesel|\btfn\b|\bsin\b|\bcurp\b|codice|voter|driving|sécurité|паспорт|снилс)",
-    "address": r"\d[\w/-]*,? (?:[^ ,]+ ){1,4}[^ ,]+, ?[\p{Lu}\d]|\d (?:bis |ter )?(?:rue|avenue|boulevard|place|chemin|via)\b|\b(?:Calle|Avenida|Avda\.?|Paseo|Plaza|C/|Rua|Travessa|Via|Viale|Piazza|Corso) |(?:straße|strasse|str\.|gasse|allee|weg|platz|ufer|damm) \d",
-    "name": r"(?:\p{Lu}[\p{L}'’.-]+,?|\p{Lu}\.) (?:\p{Lu}\. |\p{Ll}{2,5} ){0,2}\p{Lu}[\p{L}'’-]+",
-    "other": r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Devanagari}\p{Bengali}\p{Tamil}\p{Telugu}\p{Arabic}\p{Hebrew}\p{Thai}]",
+    "mail": rf"[A-Za-z0-9_%+'’-]@[A-Za-z0-9-]|[\[({{<]{_S}?(?i:at|dot|\.){_S}?[\])}}>]|{_S}(?i:dot){_S}",
+    "phone": r"\+[1-9]\d{0,2}[ (./-]*\d[\d ()./-]{6}|(?:^|[^\w.+/-])(?:00 ?[1-9][\d ()./-]{5}|[2-9]\d\d[ .-][2-9]\d\d[.-]\d{4}|\([2-9]\d\d\) ?[2-9]\d\d[.-]\d{4}|\(0\d{1,4}\) ?\d{3}|0\d{2,4}[/ -]\d{3})".replace(r"\d", r"\p{Nd}"),
+    "id": rf"(?i:{_ID_CUE}).*\p{{Nd}}",
+    "address": (
+        r"\d[\pL\pN_/-]*,? (?:[^ ,]+ ){1,4}[^ ,]+, ?[\p{Lu}\d]|\d ?(?:bis|ter|quater)?,? (?:rue|avenue|boulevard|place|chemin|allée|impasse|quai|via|viale|piazza|corso) "
+        r"|\b(?:Calle|Avenida|Avda\.?|Paseo|Plaza|C/|Rua|Travessa|Via|Viale|Piazza|Corso) |(?:straße|strasse|str\.|gasse|allee|weg|platz|ufer|damm) \d"
+    ).replace(r"\d", r"\p{Nd}"),
+    "name": rf"[{_UP}](?:\.|{_WITHIN}+,?) (?:[a-z]{{2,5}} ){{0,2}}(?:[OoDd]['’])?[{_UP}](?:\.|{_WITHIN})",
+    "other": r"[\x{0590}-\x{0DFF}\x{0E00}-\x{0E7F}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7AF}·\x{200C}\x{200D}]",
 }
 _ALL = frozenset(_CUES)
 

@@ -90,3 +90,15 @@ def test_operators(spark):
     out = {r["doc_id"]: r["text"] for r in pii.replace_details(df, b"k").collect()}
     assert out[2] is None and out[3] == "" and "666" not in out[4][-40:] and "Ada" not in out[1]
     assert pii.find_details(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "line",
+    ["Signed-off-by: Byron, A.", "Author: Ada d'Artagnan", "by ಅದಾ ಬೈರನ್", "by આદા બાયરન", "by ਅਦਾ ਬਾਇਰਨ", "by അദാ ബൈറൺ", "by ଆଦା ବାଇରନ", "by අදා බයිරන්", "mail ada-@host.example", "mail ada at host[.]example",
+     "user_ssn: 666-12-3456", "aadaar: 123412341234", "call 00123456 now", "call 0044/20/79460697 now", "went to 12quater impasse de la Tour Saint Germain, Vexlow"],
+)
+def test_cues_admit_what_the_close_look_finds(line):
+    import pyarrow as pa
+
+    want = pii.find_in_line(line)
+    assert want and [pii.find_in_line(x, cues) for _, x, cues in pii._maybe_lines(pa.array([line]))] == [want]
