@@ -101,7 +101,7 @@ def normalized_ledger(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def change_log(spark: SparkSession, folder: str) -> DataFrame:
-    return normalize.change_log(_valid(spark, folder), "source", "record_id").where("field in ('vendor_gstin', 'invoice_date', 'taxable_value')")
+    return normalize.change_log(_valid(spark, folder), "source", "record_id")
 
 
 def messy_names(spark: SparkSession, folder: str) -> DataFrame:

@@ -50,3 +50,11 @@ def test_queries_take_the_assigned_pairs(spark, written):
 def test_unmatched_filings_are_those_left_over(spark, written):
     folder, _, right, pairs = written
     assert sorted(r["record_id"] for r in ledger_queries.unmatched_filings(spark, folder).collect()) == sorted(set(right) - set(pairs.values()))
+
+
+def test_change_log_holds_all_fields(spark, tmp_path):
+    messy = ledger(record_id="P1", vendor_name="M/s Acme  Mills", cgst="9,000", sgst="9000", igst="0", total_tax="18000.0", invoice_value="1,18,000", itc_claimed_date="15/04/2026")
+    frame(spark, [messy], REGISTER_COLUMNS).write.parquet(f"{tmp_path}/purchase_register.parquet")
+    frame(spark, [ledger(gstr2b_period="2026-03", supplier_filing_date="10/05/2026")], FILING_COLUMNS).write.parquet(f"{tmp_path}/gstr2b_prior_period.parquet")
+    got = {(r["source"], r["field"]) for r in ledger_queries.change_log(spark, str(tmp_path)).collect()}
+    assert got == {("purchase_register", f) for f in ("vendor_name", "cgst", "sgst", "igst", "total_tax", "invoice_value", "itc_claimed_date")} | {("gstr2b", "supplier_filing_date")}
