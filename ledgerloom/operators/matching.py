@@ -23,6 +23,8 @@ MIN_SCORE = 45.0
 # Below this score a pair may agree on neither number, holder nor amount, and no key proposes it.
 LOWEST_FLOOR = 36.0
 BLOCK = 1000
+# Numbers of which both are shorter can be three characters apart only below the floor.
+LONG = 19
 
 
 def keyed(records: DataFrame, record_id: str = "record_id") -> DataFrame:
@@ -62,6 +64,16 @@ def _forms(rows: DataFrame) -> DataFrame:
     return rows.where("invoice <> ''").withColumn("_i", i).withColumn("form", form)
 
 
+def _shorter(rows: DataFrame, own: bool) -> DataFrame:
+    """Numbers with any two characters dropped if own, else as they are, of lengths at which such a pair can reach the floor and is
+    not of LONG numbers both."""
+    if not own:
+        return rows.where(F.length("invoice").between(13, LONG - 1)).withColumn("form", F.col("invoice"))
+    once = _forms(rows.where(F.length("invoice").between(15, LONG + 1))).where("_i > 0")
+    later = once.withColumn("_j", F.explode(F.sequence(F.col("_i"), F.length("form"))))
+    return later.withColumn("form", F.expr("concat(left(form, _j - 1), substring(form, _j + 1))"))
+
+
 def _around(rows: DataFrame, out: str, c: Column, spread: int) -> DataFrame:
     return rows.withColumn(out, F.explode(F.sequence(c - spread, c + spread))) if spread else rows.withColumn(out, c)
 
@@ -83,6 +95,11 @@ def _keys(rows: DataFrame, spread: int) -> DataFrame:
         (7, amounts_dated, [F.col("cell"), F.col("week")]),
         (8, _forms(amounts), [F.col("cell"), F.col("form")]),
     ]
+    coded = rows.where("gstin <> ''")
+    for k, own in ((9, spread > 0), (10, spread == 0)):
+        parts += [(k, _shorter(coded, own), [F.lit("g"), F.col("gstin"), F.col("form")]), (k, _shorter(amounts, own), [F.lit("a"), F.col("cell"), F.col("form")])]
+    long = F.length("invoice") >= LONG
+    parts += [(11, coded.where(long), [F.lit("g"), F.col("gstin")]), (11, amounts.where(long), [F.lit("a"), F.col("cell")])]
     cells = [df.select(F.lit(k).cast("byte").alias("kind"), _key(k, *ps).alias("key"), "id").where("key is not null") for k, df, ps in parts]
     return reduce(DataFrame.unionByName, cells)
 
@@ -95,9 +112,9 @@ def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     amount within 10 percent, without which a holder alone reaches at most 44 points (4).
     Blocks of keys 2 and 3 with more than BLOCK right rows are split. For a GSTIN: by neighbouring weeks (5) and by numbers
     one slip apart (6), and 4; for an amount: by neighbouring weeks (7), by numbers one slip apart (8), and 4. A pair of a large
-    GSTIN block more than a week apart with amounts more than 10 percent apart needs nearly equal numbers to reach the floor;
-    for numbers of up to 26 characters that is one slip, or two characters more on one side, and the latter only is not
-    proposed.
+    block that neither weeks nor 4 propose has 41 points at most without its numbers and needs a ratio of 0.925 of them to reach
+    MIN_SCORE. That is one slip, or two characters more on the left (9) or on the right (10), or more where both numbers have
+    LONG characters, which all meet in their block (11). Floors below MIN_SCORE may lose pairs of large blocks.
     """
     l, r = _keys(left, 1), _keys(right, 0)  # noqa: E741
     sizes = r.where("kind in (2, 3)").groupBy("kind", "key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
@@ -105,8 +122,11 @@ def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     whole = r.where("kind in (1, 4)").unionByName(r.where("kind in (2, 3)").join(large.select("key"), "key", "left_anti").select(*r.columns))
     # Finer keys for rows of large blocks only.
     ids = r.join(large, ["kind", "key"], "left_semi").select("id").distinct()
-    fine = r.where("kind in (5, 6, 7, 8)").join(ids, "id", "left_semi").select(*r.columns)
+    fine = r.where("kind >= 5").join(ids, "id", "left_semi").select(*r.columns)
     keys = whole.unionByName(fine)
+    # Keys 9 to 11 are many: on the left too only for rows of large blocks.
+    left_ids = l.where("kind in (2, 3)").join(large, ["kind", "key"], "left_semi").select("id").distinct()
+    l = l.where("kind < 9").unionByName(l.where("kind >= 9").join(left_ids, "id", "left_semi").select(*l.columns))  # noqa: E741
     return l.select("key", F.col("id").alias("left_id")).join(keys.select("key", F.col("id").alias("right_id")), "key").select("left_id", "right_id").distinct()
 
 

@@ -49,6 +49,19 @@ def test_candidates_lose_no_pair(sides, block, monkeypatch):
     assert got == pytest.approx(want)
 
 
+def test_large_blocks_propose_numbers_two_characters_apart(spark, monkeypatch):
+    monkeypatch.setattr(matching, "BLOCK", 3)
+    numbers = [("INV251000009235", "INV-2510-00009235"), ("INV-2511-00000417", "INV251100000417"), ("A-2510-0000-0000-00007", "A2510000000000007X"), ("ACME-2510-000000-12345", "ACME2510000000-12345")]
+    cells = [{"taxable_value": "100"}, {"taxable_value": "100", "vendor_gstin": "29AAGCB7383J1Z4"}]
+    left = [ledger(record_id=f"l{i}{j}", invoice_id=a, **c) for i, (a, _) in enumerate(numbers) for j, c in enumerate(cells)]
+    right = [ledger(record_id=f"r{i}{k}", invoice_id=b, invoice_date="2026-05-05", taxable_value=v) for i, (_, b) in enumerate(numbers) for k, v in enumerate(("100", "900"))]
+    x, y = (matching.keyed(normalize.normalize(frame(spark, rows))) for rows in (left, right))
+    a, b = ([r.asDict() for r in side.collect()] for side in (x, y))
+    want = {(p["id"], q["id"]): s for p in a for q in b if (s := plain_score(p, q)) >= 45}
+    got = {(r["left_id"], r["right_id"]): r["score"] for r in matching.scored_pairs(matching.candidate_pairs(x, y), x, y).collect()}
+    assert ("l00", "r01") in want and ("l10", "r11") in want and ("l01", "r00") in want and got == pytest.approx(want)
+
+
 def greedy(rows):
     left, right, out = set(), set(), []
     for s, a, b in sorted((-s, a, b) for a, b, s in rows):
