@@ -16,6 +16,8 @@ LAST_DATE = "2030-12-31"
 
 # Unicode white space at either end, and the separators U+001C to U+001F.
 _EDGE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# Plain text with nothing at its ends, which most cells are: a cheaper test than the search for edges.
+_PLAIN = r"^[!-~](?:[ -~]*[!-~])?\z"
 _YEAR_FIRST = r"^[0-9]{4}([-/])[0-9]{1,2}\1[0-9]{1,2}$"
 _DAY_FIRST = r"^[0-9]{1,2}([-/.])[0-9]{1,2}\1[0-9]{4}$"
 _DIGITS = r"[0-9]+(?:_[0-9]+)*"
@@ -38,7 +40,7 @@ def col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Text without white space of any kind at its ends; null stays null."""
-    return F.regexp_replace(col(c), _EDGE, "")
+    return F.when(col(c).rlike(_PLAIN), col(c)).otherwise(F.regexp_replace(col(c), _EDGE, ""))
 
 
 def filled(c: Column | str) -> Column:
@@ -54,9 +56,9 @@ def is_blank(c: Column | str) -> Column:
 def date_of(text: Column) -> Column:
     """DATE of stripped text in the layouts Y-m-d, Y/m/d, d/m/Y, d-m-Y or d.m.Y, day and month of one or two digits."""
     plain = F.translate(text, "/.", "--")
-    return F.when(text.rlike(_YEAR_FIRST), F.try_to_date(plain, "yyyy-M-d")).when(
-        text.rlike(_DAY_FIRST), F.try_to_date(plain, "d-M-yyyy")
-    )
+    day, month = F.substring_index(plain, "-", 1), F.substring_index(F.substring_index(plain, "-", 2), "-", -1)
+    turned = F.concat(F.right(plain, F.lit(4)), F.lit("-"), month, F.lit("-"), day)
+    return F.when(text.rlike(_YEAR_FIRST), plain.try_cast("date")).when(text.rlike(_DAY_FIRST), turned.try_cast("date"))
 
 
 def parse_date(c: Column | str) -> Column:
