@@ -23,6 +23,9 @@ MIN_SCORE = 45.0
 # Below this score a pair may agree on neither number, holder nor amount, and no key proposes it.
 LOWEST_FLOOR = 36.0
 BLOCK = 1000
+# Only pairs of holder and amount, or of number and one of these, reach STRONG: all else has at most 30 + 12 + 8 + 10 + 6 points. FAIR is
+# out of reach for a pair with neither the number, nor a holder with an amount within 10 percent: it has at most 30 + 8 + 10 + 6.
+STRONG, FAIR = 70.0, 55.0
 # Numbers of which both are shorter can be three characters apart only below the floor.
 LONG = 19
 
@@ -48,10 +51,7 @@ def _key(kind: int, *parts: Column) -> Column:
 
 
 _WEEK, _STEP = 8, 0.11
-
-
-def _week(c: str) -> Column:
-    return F.floor(F.datediff(F.col(c), F.lit("2000-01-01").cast("date")) / _WEEK)
+SALTS = 4
 
 
 def _band(c: str) -> Column:
@@ -78,56 +78,110 @@ def _around(rows: DataFrame, out: str, c: Column, spread: int) -> DataFrame:
     return rows.withColumn(out, F.explode(F.sequence(c - spread, c + spread))) if spread else rows.withColumn(out, c)
 
 
+def _cells(rows: DataFrame, *parts: tuple[int, DataFrame, list[Column]]) -> DataFrame:
+    """(kind, key, id) of rows for each kind of key."""
+    return reduce(DataFrame.unionByName, [df.select(F.lit(k).cast("byte").alias("kind"), _key(k, *ps).alias("key"), "id").where("key is not null") for k, df, ps in parts])
+
+
+def _meet(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of ids with a key in common, each once."""
+    return left.select("key", F.col("id").alias("left_id")).join(right.select("key", F.col("id").alias("right_id")), "key").select("left_id", "right_id").distinct()
+
+
+def _who() -> Column:
+    """What records of one GSTIN, and of one holder, have in common."""
+    return F.coalesce("holder", F.nullif(F.col("gstin"), F.lit("")))
+
+
+def _strong_keys(rows: DataFrame, spread: int, floor: float) -> DataFrame:
+    """Keys of pairs that reach STRONG (who and amount, or the number with either) or FAIR (the number, or who with a near amount)."""
+    known = rows.where("amount is not null")
+    amounts = _around(known, "cell", F.floor("amount"), spread)
+    named = F.nullif(F.col("invoice"), F.lit(""))
+    if floor >= STRONG:
+        return _cells(rows, (12, amounts, [_who(), F.col("cell")]), (13, rows, [named, _who()]), (14, amounts, [named, F.col("cell")]))
+    # Amounts of a rupee or less may be equal though their logarithms are far apart.
+    banded = _around(known.where("amount > 0"), "cell", _band("amount"), spread)
+    return _cells(rows, (12, amounts, [_who(), F.col("cell")]), (15, banded, [_who(), F.col("cell")]), (1, rows, [named]))
+
+
+def _week(c: str) -> Column:
+    return F.floor(F.datediff(F.col(c), F.lit("2000-01-01").cast("date")) / _WEEK)
+
+
+def _salted(rows: DataFrame, every: bool) -> DataFrame:
+    """rows by ``salt``: all of them on one side, the record's own on the other, so that SALTS tasks share a large week."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))) if every else F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+
+
 def _keys(rows: DataFrame, spread: int) -> DataFrame:
     """(kind, key, id); spread 1 on one side makes neighbouring cells meet."""
     known = rows.where("amount is not null")
     amounts = _around(known, "cell", F.floor("amount"), spread)
     banded = _around(known.where("amount > 0 and holder is not null"), "cell", _band("amount"), spread)
-    dated = _around(rows.where("date is not null and gstin <> ''"), "week", _week("date"), spread)
-    amounts_dated = _around(amounts.where("date is not null"), "week", _week("date"), spread)
+    coded = rows.where("gstin <> ''")
+    weekly = lambda df: _salted(_around(df.where("date is not null"), "week", _week("date"), spread), spread > 0)
     parts = [
         (1, rows.where("invoice <> ''"), [F.col("invoice")]),
         (2, amounts, [F.col("cell")]),
-        (3, rows.where("gstin <> ''"), [F.col("gstin")]),
+        (3, coded, [F.col("gstin")]),
         (4, banded, [F.col("holder"), F.col("cell")]),
-        (5, dated, [F.col("gstin"), F.col("week")]),
-        (6, _forms(rows.where("gstin <> ''")), [F.col("gstin"), F.col("form")]),
-        (7, amounts_dated, [F.col("cell"), F.col("week")]),
+        (5, weekly(coded), [F.col("gstin"), F.col("week"), F.col("salt")]),
+        (6, _forms(coded), [F.col("gstin"), F.col("form")]),
+        (7, weekly(amounts), [F.col("cell"), F.col("week"), F.col("salt")]),
         (8, _forms(amounts), [F.col("cell"), F.col("form")]),
     ]
-    coded = rows.where("gstin <> ''")
     for k, own in ((9, spread > 0), (10, spread == 0)):
         parts += [(k, _shorter(coded, own), [F.lit("g"), F.col("gstin"), F.col("form")]), (k, _shorter(amounts, own), [F.lit("a"), F.col("cell"), F.col("form")])]
     long = F.length("invoice") >= LONG
     parts += [(11, coded.where(long), [F.lit("g"), F.col("gstin")]), (11, amounts.where(long), [F.lit("a"), F.col("cell")])]
-    cells = [df.select(F.lit(k).cast("byte").alias("kind"), _key(k, *ps).alias("key"), "id").where("key is not null") for k, df, ps in parts]
-    return reduce(DataFrame.unionByName, cells)
+    return _cells(rows, *parts)
+
 
+def _in_week() -> Column:
+    """Whether a pair of one week can still reach MIN_SCORE with 40 points for all but date and number: on one day it can; else its
+    numbers, d and e, must be as alike as the points that the date leaves open ask for. Edits are at most the characters by which the
+    ratio falls short."""
+    days = F.abs(F.datediff("p", "q"))
+    enough = F.lit(False)
+    for most, points in DATE_BANDS[:3]:
+        ratio = INVOICE_FROM + (1 - INVOICE_FROM) * max(0.0, MIN_SCORE - AMOUNT_EQUAL - NAME_EQUAL - points) / INVOICE_CLOSE
+        room = F.floor((1 - ratio) * (F.length("d") + F.length("e")) + 1e-9)
+        enough = enough | ((days <= most) & (F.lit(points >= MIN_SCORE - AMOUNT_EQUAL - NAME_EQUAL) | (F.levenshtein("d", "e") <= room)))
+    return F.coalesce(enough, F.lit(False))
 
-def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs (left_id, right_id) that may reach a score above LOWEST_FLOOR, each once.
+
+def candidate_pairs(left: DataFrame, right: DataFrame, floor: float = MIN_SCORE) -> DataFrame:
+    """Pairs (left_id, right_id) that may reach floor, each once.
 
     A pair that shares neither invoice number, nor holder, nor amount to the rupee has at most 8 + 12 + 10 + 6 points. What it
-    shares otherwise decides which keys find it: the number itself (1); the amount (2); the whole GSTIN (3); the holder with an
-    amount within 10 percent, without which a holder alone reaches at most 44 points (4).
+    shares otherwise decides which keys find it. From STRONG on: GSTIN or holder with the amount, or the number with either. From FAIR on: the
+    number, or GSTIN or holder with an amount within 10 percent. Below: the number itself (1); the amount (2); the whole GSTIN (3);
+    the holder with an amount within 10 percent, without which a holder alone reaches at most 44 points (4).
     Blocks of keys 2 and 3 with more than BLOCK right rows are split. For a GSTIN: by neighbouring weeks (5) and by numbers
-    one slip apart (6), and 4; for an amount: by neighbouring weeks (7), by numbers one slip apart (8), and 4. A pair of a large
+    one slip apart (6), and 4; for an amount: by neighbouring weeks (7), by numbers one slip apart (8), and 4. Weeks are salted, and
+    what meets in one is kept only if its date and number can reach MIN_SCORE. A pair of a large
     block that neither weeks nor 4 propose has 41 points at most without its numbers and needs a ratio of 0.925 of them to reach
     MIN_SCORE. That is one slip, or two characters more on the left (9) or on the right (10), or more where both numbers have
     LONG characters, which all meet in their block (11). Floors below MIN_SCORE may lose pairs of large blocks.
     """
+    if floor >= FAIR:
+        return _meet(_strong_keys(left, 1, floor), _strong_keys(right, 0, floor))
     l, r = _keys(left, 1), _keys(right, 0)  # noqa: E741
     sizes = r.where("kind in (2, 3)").groupBy("kind", "key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
-    large = cut(sizes)
-    whole = r.where("kind in (1, 4)").unionByName(r.where("kind in (2, 3)").join(large.select("key"), "key", "left_anti").select(*r.columns))
-    # Finer keys for rows of large blocks only.
-    ids = r.join(large, ["kind", "key"], "left_semi").select("id").distinct()
-    fine = r.where("kind >= 5").join(ids, "id", "left_semi").select(*r.columns)
-    keys = whole.unionByName(fine)
-    # Keys 9 to 11 are many: on the left too only for rows of large blocks.
-    left_ids = l.where("kind in (2, 3)").join(large, ["kind", "key"], "left_semi").select("id").distinct()
-    l = l.where("kind < 9").unionByName(l.where("kind >= 9").join(left_ids, "id", "left_semi").select(*l.columns))  # noqa: E741
-    return l.select("key", F.col("id").alias("left_id")).join(keys.select("key", F.col("id").alias("right_id")), "key").select("left_id", "right_id").distinct()
+    large = store(sizes.select("kind", "key"))
+    if large.isEmpty():
+        return _meet(l.where("kind <= 4"), r.where("kind <= 4"))
+    whole = r.where("kind in (1, 4)").unionByName(r.where("kind in (2, 3)").join(large, ["kind", "key"], "left_anti"))
+    # Finer keys are many: only for rows of large blocks, on either side.
+    def inside(keys: DataFrame) -> DataFrame:
+        return keys.where("kind in (2, 3)").join(large, ["kind", "key"], "left_semi").select("id").distinct()
+
+    fine_left, fine_right = (k.where("kind >= 5").join(inside(k), "id", "left_semi") for k in (l, r))
+    pairs = _meet(l.where("kind <= 4"), whole).unionByName(_meet(fine_left.where("kind not in (5, 7)"), fine_right.where("kind not in (5, 7)")))
+    side = lambda keys, rows, i, d, n: keys.where("kind in (5, 7)").join(rows.select("id", F.col("date").alias(d), F.col("invoice").alias(n)), "id").withColumnRenamed("id", i).drop("kind")
+    weekly = side(fine_left, left, "left_id", "p", "d").join(side(fine_right, right, "right_id", "q", "e"), "key").where(_in_week())
+    return pairs.unionByName(weekly.select("left_id", "right_id")).distinct()
 
 
 def all_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -200,23 +254,47 @@ def scored_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, min_score:
     return out.withColumn("score", total).where(F.col("score") >= min_score).select("left_id", "right_id", "score", "gstin", "amount", "date", "invoice", "name")
 
 
+def _tied(best: DataFrame) -> DataFrame:
+    """Pairs (left_id, right_id, score) of full blocks: every left record of it is best with exactly the right records of the block, all by one
+    score, and the other way round. Taking such pairs one by one pairs the records by their ranks.
+
+    best: pairs with ``all_left`` and ``all_right``, for how many records each side's best score stands. Records whose best
+    partners are the same are recognised by their number and two hashes over them.
+    """
+    seen = lambda of, by, n: best.groupBy(by).agg(F.count("*").alias(f"{n}_c"), F.bit_xor(F.xxhash64(of)).alias(f"{n}_x"), F.bit_xor(F.xxhash64(F.lit(1), of)).alias(f"{n}_y"))
+    both = best.join(seen("right_id", "left_id", "l"), "left_id").join(seen("left_id", "right_id", "r"), "right_id").where("l_c = all_left and r_c = all_right")
+    block = ["l_c", "l_x", "l_y", "r_c", "r_x", "r_y", "score"]
+    # A full block has as many pairs as its sides multiply to.
+    full = both.groupBy(*block).agg(F.count("*").alias("n")).where("n = l_c * r_c").drop("n")
+    inside = both.join(full, block, "left_semi")
+    rank = lambda c: inside.select(c, *block).distinct().withColumn("rank", F.row_number().over(Window.partitionBy(*block).orderBy(c)))
+    return rank("left_id").join(rank("right_id"), [*block, "rank"]).select("left_id", "right_id", "score")
+
+
 def assign(scored: DataFrame) -> DataFrame:
     """Strictly one-to-one pairs, best score first, ties by left_id and then right_id in code point order.
 
-    Each round keeps the pairs that are first for both their sides and takes away all others of these sides, until none is
-    left. As the order is strict, that gives the same pairs as taking them one by one. Each round's tables are written to the
+    Each round keeps the pairs that are first for both their sides, and whole blocks of ties (see _tied), and takes away all others of these
+    sides, until none is left. As the order is strict, that gives the same pairs as taking them one by one. Each round's tables are written to the
     shared folder. One pass over the pairs finds the first of either side with map-side combination, so a record with very
     many pairs is no hot group.
     """
-    rest = cut(scored.select("left_id", "right_id", "score"))
+    rest = store(scored.select("left_id", "right_id", "score"))
     taken: list[DataFrame] = []
     while not rest.isEmpty():
-        rank = F.struct((-F.col("score")).alias("s"), F.col("left_id").alias("l"), F.col("right_id").alias("r"))
-        of_left = rest.groupBy("left_id").agg(F.min(rank).alias("k")).select("k.*")
-        of_right = rest.groupBy("right_id").agg(F.min(rank).alias("k")).select("k.*")
-        won = cut(of_left.join(of_right, ["l", "r", "s"]).select(F.col("l").alias("left_id"), F.col("r").alias("right_id"), (-F.col("s")).alias("score")))
+        first = lambda by, other, n: rest.groupBy(by).agg(F.max("score").alias(f"{n}_s"), F.min_by(other, F.struct((-F.col("score")).alias("s"), other)).alias(f"{n}_m"))  # noqa: B023, E731
+        both = rest.join(first("left_id", "right_id", "l"), "left_id").join(first("right_id", "left_id", "r"), "right_id")
+        top = store(both.where("score = l_s or score = r_s"))
+        best = top.where("score = l_s and score = r_s")
+        won = best.where("right_id = l_m and left_id = r_m").select("left_id", "right_id", "score")
+        ties = best.where("right_id <> l_m or left_id <> r_m")
+        if not ties.isEmpty():
+            many = lambda by, s, n: top.where(f"score = {s}").groupBy(by).agg(F.count("*").alias(n))  # noqa: B023, E731
+            known = best.select("left_id", "right_id", "score").join(many("left_id", "l_s", "all_left"), "left_id").join(many("right_id", "r_s", "all_right"), "right_id")
+            won = won.unionByName(_tied(known)).distinct()
+        won = store(won)
         taken.append(won)
-        rest = cut(rest.join(won.select("left_id"), "left_id", "left_anti").join(won.select("right_id"), "right_id", "left_anti"))
+        rest = store(rest.join(won.select("left_id"), "left_id", "left_anti").join(won.select("right_id"), "right_id", "left_anti"))
     return reduce(DataFrame.unionByName, taken) if taken else rest
 
 
@@ -226,22 +304,35 @@ class Matching:
 
     matches: DataFrame
     unmatched: DataFrame
-    scored: DataFrame
 
 
 def match(left: DataFrame, right: DataFrame, min_score: float = MIN_SCORE) -> Matching:
-    """Match two normalised ledgers. Record ids must be unique on each side; ValueError if they aren't."""
+    """Match two normalised ledgers. Record ids must be unique on each side; ValueError if they aren't.
+
+    Pairs are taken by descending score, so those of the highest scores are proposed, scored and assigned first, and lower ones
+    among the records left over only: what two records of one supplier share anyway is never listed for records that have a partner.
+    """
     l, r = prepared(left), prepared(right)  # noqa: E741
     for name, side in (("left", l), ("right", r)):
         if not side.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").isEmpty():
             raise ValueError(f"record ids of the {name} ledger aren't unique")
-    pairs = candidate_pairs(l, r) if min_score > LOWEST_FLOOR else all_pairs(l, r)
-    scored = cut(scored_pairs(pairs, l, r, min_score))
-    pairs = assign(scored)
-    return Matching(
+    if min_score <= LOWEST_FLOOR:
+        pairs = assign(scored_pairs(all_pairs(l, r), l, r, min_score))
+        return Matching(*_outer(l, r, pairs))
+    taken: list[DataFrame] = []
+    x, y = l, r
+    for floor in [f for f in (STRONG, FAIR) if f > min_score] + [min_score]:
+        won = assign(scored_pairs(candidate_pairs(x, y, floor), x, y, floor))
+        taken.append(won)
+        if floor > min_score:
+            x, y = (store(df.join(won.select(F.col(c).alias("id")), "id", "left_anti")) for df, c in ((x, "left_id"), (y, "right_id")))
+    return Matching(*_outer(l, r, store(reduce(DataFrame.unionByName, taken))))
+
+
+def _outer(l: DataFrame, r: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:  # noqa: E741
+    return (
         l.select(F.col("id").alias("left_id")).join(pairs, "left_id", "left"),
         r.select(F.col("id").alias("right_id")).join(pairs.select("right_id"), "right_id", "left_anti"),
-        scored,
     )
 
 

@@ -111,3 +111,16 @@ def test_ranked_and_latest(spark):
     got = matching.ranked(df, F.col("k"), F.col("id").desc()).orderBy("place").collect()
     assert [r["place"] for r in got] == list(range(1, 501)) and [(r["k"], -r["id"]) for r in got] == sorted((r["k"], -r["id"]) for r in got)
     assert {r["k"]: r["id"] for r in matching.latest(df, ["k"], F.col("id")).collect()} == {k: max(i for i in range(500) if i % 7 == k) for k in range(7)}
+
+
+def test_a_block_of_ties_takes_few_rounds(spark, monkeypatch):
+    """200 x 200 pairs of one score, beside a smaller block, a chain and pairs that differ, in a fixed number of rounds."""
+    rows = [(f"a{i:03d}", f"b{j:03d}", 60.0) for i in range(200) for j in range(200)]
+    rows += [(f"c{i}", f"d{j}", 50.0) for i in range(7) for j in range(3)] + [(f"c{i}", "b000", 55.0) for i in range(2)]
+    rows += [(f"e{i}", f"f{i + k}", 70.0) for i in range(6) for k in (0, 1)] + [("g1", "d0", 80.0), ("g1", "h", 50.0), ("g2", "h", 50.0)]
+    tables = []
+    store = matching.store
+    monkeypatch.setattr(matching, "store", lambda df: tables.append(1) or store(df))
+    got = matching.assign(spark.createDataFrame(rows, "left_id string, right_id string, score double"))
+    assert sorted(tuple(r) for r in got.collect()) == greedy([(a, b, s) for a, b, s in rows])
+    assert len(tables) <= 1 + 3 * 7
