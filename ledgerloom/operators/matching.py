@@ -52,6 +52,7 @@ def _key(kind: int, *parts: Column) -> Column:
 
 _WEEK, _STEP = 8, 0.11
 SALTS = 4
+PLAIN_ROUNDS = 2
 
 
 def _band(c: str) -> Column:
@@ -274,8 +275,8 @@ def _tied(best: DataFrame) -> DataFrame:
 def assign(scored: DataFrame) -> DataFrame:
     """Strictly one-to-one pairs, best score first, ties by left_id and then right_id in code point order.
 
-    Each round keeps the pairs that are first for both their sides, and whole blocks of ties (see _tied), and takes away all others of these
-    sides, until none is left. As the order is strict, that gives the same pairs as taking them one by one. Each round's tables are written to the
+    Each round keeps the pairs that are first for both their sides, and after PLAIN_ROUNDS whole blocks of ties (see _tied), and takes away all
+    others of these sides, until none is left. As the order is strict, that gives the same pairs as taking them one by one. Each round's tables are written to the
     shared folder. One pass over the pairs finds the first of either side with map-side combination, so a record with very
     many pairs is no hot group.
     """
@@ -284,15 +285,15 @@ def assign(scored: DataFrame) -> DataFrame:
     while not rest.isEmpty():
         first = lambda by, other, n: rest.groupBy(by).agg(F.max("score").alias(f"{n}_s"), F.min_by(other, F.struct((-F.col("score")).alias("s"), other)).alias(f"{n}_m"))  # noqa: B023, E731
         both = rest.join(first("left_id", "right_id", "l"), "left_id").join(first("right_id", "left_id", "r"), "right_id")
-        top = store(both.where("score = l_s or score = r_s"))
-        best = top.where("score = l_s and score = r_s")
-        won = best.where("right_id = l_m and left_id = r_m").select("left_id", "right_id", "score")
-        ties = best.where("right_id <> l_m or left_id <> r_m")
-        if not ties.isEmpty():
+        mutual = lambda df: df.where("right_id = l_m and left_id = r_m").select("left_id", "right_id", "score")
+        if len(taken) < PLAIN_ROUNDS:
+            won = store(mutual(both))
+        else:
+            top = store(both.where("score = l_s or score = r_s"))
             many = lambda by, s, n: top.where(f"score = {s}").groupBy(by).agg(F.count("*").alias(n))  # noqa: B023, E731
+            best = top.where("score = l_s and score = r_s")
             known = best.select("left_id", "right_id", "score").join(many("left_id", "l_s", "all_left"), "left_id").join(many("right_id", "r_s", "all_right"), "right_id")
-            won = won.unionByName(_tied(known)).distinct()
-        won = store(won)
+            won = store(mutual(best).unionByName(_tied(known)).distinct())
         taken.append(won)
         rest = store(rest.join(won.select("left_id"), "left_id", "left_anti").join(won.select("right_id"), "right_id", "left_anti"))
     return reduce(DataFrame.unionByName, taken) if taken else rest

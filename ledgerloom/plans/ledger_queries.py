@@ -40,12 +40,16 @@ def _sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return v.where("source = 'purchase_register'"), v.where("source = 'gstr2b'")
 
 
+def _stored_sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    cells = ["source", "record_id", "invoice_id", "vendor_gstin", "vendor_name", "taxable_value", "invoice_date", "igst", "cgst", "sgst"]
+    v = store(_valid(spark, folder).select(*cells))
+    return v.where("source = 'purchase_register'"), v.where("source = 'gstr2b'")
+
+
 def _matched(spark: SparkSession, folder: str) -> tuple[matching.Matching, DataFrame, DataFrame]:
     """(match, left, right) of the one-to-one match, as pipeline.run has them. The cells that matching and evidence read are
     written once, so that neither parses again."""
-    cells = ["source", "record_id", "invoice_id", "vendor_gstin", "vendor_name", "taxable_value", "invoice_date", "igst", "cgst", "sgst"]
-    v = store(_valid(spark, folder).select(*cells))
-    l, r = v.where("source = 'purchase_register'"), v.where("source = 'gstr2b'")  # noqa: E741
+    l, r = _stored_sides(spark, folder)  # noqa: E741
     return matching.match(l, r), l, r
 
 
@@ -121,20 +125,20 @@ def head_profiles(spark: SparkSession, folder: str) -> DataFrame:
 
 def sure_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs that reach the floor without any comparison of texts."""
-    l, r = (matching.prepared(x) for x in _sides(spark, folder))
+    l, r = (matching.prepared(x) for x in _stored_sides(spark, folder))
     pairs = matching.cheap_scores(matching.candidate_pairs(l, r), l, r)
     total = F.col("gstin") + F.col("amount") + F.col("date") + F.col("invoice")
     return pairs.withColumn("sure", total).where(F.col("sure") >= matching.MIN_SCORE)
 
 
 def scored_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    l, r = (matching.prepared(x) for x in _sides(spark, folder))
+    l, r = (matching.prepared(x) for x in _stored_sides(spark, folder))
     return matching.scored_pairs(matching.candidate_pairs(l, r), l, r)
 
 
 def assigned_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """One-to-one assignment of the whole ledgers."""
-    return matching.match(*_sides(spark, folder)).matches
+    return matching.match(*_stored_sides(spark, folder)).matches
 
 
 def unmatched_filings(spark: SparkSession, folder: str) -> DataFrame:
