@@ -101,6 +101,26 @@ _EVIDENCE = f"""{_ASSIGNED}, e as (
     case when not found then 'N1' when substr(lg, 3, 10) <> substr(rg, 3, 10) then 'N2' when abs(amount_delta) > 1.00 then 'N3' end as rule_id
   from e
 ), d as (select *, case when confidence >= 80.25 and gstin and amount and invoice_number then 'auto_reconcile' when rule_id is not null then 'classified_exception' else 'indeterminate' end as outcome from c)"""
+_DELIVERED = (*_COLUMNS, "supplier_filing_date", "gstr2b_period", "simulated_current_date")
+_BOOKED = ("record_id", "invoice_id", "vendor_id", *_COLUMNS[2:], "itc_claimed_date", "rule88d_intimation_date", "simulated_current_date")
+_EVERY = sorted({*_DELIVERED, *_BOOKED})
+_LINE = r"regexp_replace(coalesce(raw_line, ''), '(\r\n|\n|\r)$', '')"
+_keys_of = lambda cs: "[" + ", ".join(f"'{c}'" for c in sorted(cs)) + "]"
+_unquoted = lambda x: f"case when {x}[1] = '\"' then replace(substr({x}, 2, length({x}) - 2), '\"\"', '\"') else {x} end"
+# Delivered lines and logged snapshots as text cells with what is wrong with their shape, then the first error of each record.
+_READ = rf"""outlined as (
+  select line_id, {_LINE} as t, regexp_replace(replace({_LINE}, chr(1), chr(2)), '"[^"]*"', chr(1), 'g') as o from raw_filing_lines where line_no <> 1
+), shaped as (
+  select *, case when regexp_matches(o, '[^,\x01]\x01|\x01[^,\x01]|"|[\r\n]') then 'broken_quoting' when length(o) - length(replace(o, ',', '')) <> {len(_DELIVERED) - 1} then 'column_count' end as shape from outlined
+), split as (select line_id, shape, case when shape is null then regexp_extract_all(t || ',', '((?:"[^"]*")+|[^,"]*),', 1) end as x from shaped
+), snapshots as (
+  select id, source, case when json_valid(raw_record_snapshot) and json_type(raw_record_snapshot) = 'OBJECT' then raw_record_snapshot::json end as j from quarantine_log
+), known as (select *, case when j is null then 'broken_json' when list_sort(list_distinct(json_keys(j))) = case when source = 'purchase_register' then {_keys_of(_BOOKED)} when source in ('gstr2b', 'gstr2b_prior_period') then {_keys_of(_DELIVERED)} end then null else 'column_count' end as shape from snapshots
+), cells as (
+  select 'raw_filing_lines' as origin, line_id as row_id, shape, {', '.join(_unquoted(f'x[{_DELIVERED.index(c) + 1}]') + f' as {c}' if c in _DELIVERED else f'null::varchar as {c}' for c in _EVERY)} from split
+  union all select 'quarantine_log', id, shape, {', '.join(f"case when shape is null then j ->> '$.{c}' end" for c in _EVERY)} from known
+), read as (select *, {date('invoice_date')} as d from cells)"""
+_WHY = f"{_READ}, why as (select *, case when shape is not null then shape else {_FIRST}[1] end as reason from read)"
 _FIELDS = ("amount", "date", "gstin", "invoice_number", "tax_heads", "vendor_name")
 _MATCHED = " + ".join(f'"{f}"::int' for f in _FIELDS)
 _TYPE = f"case when outcome = 'auto_reconcile' then case when {_MATCHED} = 6 then 'exact' else 'fuzzy' end when outcome = 'classified_exception' then 'rule_classified' else 'none' end"
@@ -110,6 +130,8 @@ _SWEEP = f"""{_EVIDENCE}, grid as (select range * 0.5 as threshold, range as i f
 ), rated as (select *, case when tp + fn = 0 then 0 else tp::double / (tp + fn) end + case when tn + fp = 0 then 0 else tn::double / (tn + fp) end - 1 as j from points)"""
 _TOTALS = f"{_NORMAL}, totals as (select vendor_gstin, sum(i + c + s) as total from l group by 1)"
 SQL: dict[str, str] = {
+    "p2_found": f"with {_WHY} select origin, row_id, reason from why where reason is not null",
+    "p2_loaded": f"with {_WHY} select origin, row_id, {', '.join(_EVERY)}, d as invoice_date_typed, {', '.join(f'{amount(c)} as {c}_typed' for c in _NUMERIC)} from why where reason is null",
     "validation_errors": f"with {_RAW} select source, record_id, err[1] as error_type, err[2] as field from judged where err is not null",
     "quarantine_by_error": f"with {_RAW} select source, err[1] as error_type, count(*) as n from judged where err is not null group by 1, 2",
     "all_errors": f"with {_RAW} select source, record_id, x.e as error_type, x.f as field from (select source, record_id, unnest({_ALL}) as x from judged)",
