@@ -16,41 +16,72 @@ from ..session import ship
 ROWS_PER_BUCKET = 200_000
 
 
-class Presence:
-    """Compressed bitmap over ordinals 0 to n: runs of whole zero or whole one words are kept as (start, end) only.
-
-    Words of 64 ordinals that are neither empty nor full are stored as they are, with their positions.
-    """
-
-    def __init__(self, ordinals: np.ndarray, n: int):
-        bits = np.zeros((n + 63) // 64 * 64, np.uint8)
-        bits[ordinals] = 1
-        words = np.packbits(bits, bitorder="little").view("<u8")
-        self.n, self.full = n, self._runs(words == np.uint64(0xFFFFFFFFFFFFFFFF))
-        self.at = np.flatnonzero((words != 0) & (words != np.uint64(0xFFFFFFFFFFFFFFFF)))
-        self.words = words[self.at]
+_FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
-    @staticmethod
-    def _runs(mask: np.ndarray) -> np.ndarray:
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
-        return edges.reshape(-1, 2)
 
-    def dense(self) -> np.ndarray:
-        words = np.zeros((self.n + 63) // 64, np.uint64)
-        for a, b in self.full:
-            words[a:b] = np.uint64(0xFFFFFFFFFFFFFFFF)
-        words[self.at] = self.words
-        return words
-
-    @staticmethod
-    def ordinals(words: np.ndarray) -> np.ndarray:
-        return np.flatnonzero(np.unpackbits(words.view(np.uint8), bitorder="little"))
-
-    def and_not(self, other: Presence) -> np.ndarray:
-        return self.ordinals(self.dense() & ~other.dense())
-
-    def intersect(self, other: Presence) -> np.ndarray:
-        return self.ordinals(self.dense() & other.dense())
+class Presence:
+    """Compressed bitmap over ordinals: words of 64 ordinals that are full are kept as runs (start, end), words that are neither
+    empty nor full as they are, with their positions, and empty words not at all. Operations work on runs and stored words, so
+    their cost follows the compressed size."""
+
+    def __init__(self, full: np.ndarray, at: np.ndarray, words: np.ndarray):
+        self.full, self.at, self.words = full, at, words
+
+    @classmethod
+    def of(cls, ordinals: np.ndarray) -> Presence:
+        o = np.unique(ordinals)
+        at, first = np.unique(o >> 6, return_index=True)
+        bits = np.uint64(1) << (o & 63).astype(np.uint64)
+        words = np.bitwise_or.reduceat(bits, first) if len(o) else np.empty(0, np.uint64)
+        filled = words == _FULL
+        return cls(_runs(at[filled]), at[~filled], words[~filled])
+
+    def _has_run(self, at: np.ndarray) -> np.ndarray:
+        """Whether each word position lies in a run of full words."""
+        i = np.searchsorted(self.full[:, 0], at, side="right") - 1
+        return (i >= 0) & (at < self.full[i, 1]) if len(self.full) else np.zeros(len(at), bool)
+
+    def _stored(self, at: np.ndarray) -> np.ndarray:
+        """The stored word at each position, full in a run, else empty."""
+        out = np.where(self._has_run(at), _FULL, np.uint64(0))
+        i = np.minimum(np.searchsorted(self.at, at), max(0, len(self.at) - 1))
+        if len(self.at):
+            out = np.where(self.at[i] == at, self.words[i], out)
+        return out
+
+    def _combine(self, other: Presence, negate: bool) -> Presence:
+        """self AND other, or AND NOT. Runs are cut where either side changes; mixed words are combined one by one."""
+        mixed = np.unique(np.concatenate((self.at, other.at)))
+        cuts = np.unique(np.concatenate((self.full.ravel(), other.full.ravel(), mixed, mixed + 1)))
+        begin, end = cuts[:-1], cuts[1:]
+        keep = self._has_run(begin) & (other._has_run(begin) != negate) & ~np.isin(begin, mixed)
+        mine, theirs = self._stored(mixed), other._stored(mixed)
+        words = mine & (~theirs if negate else theirs)
+        some = words != 0
+        runs = np.stack((begin[keep], end[keep]), 1) if len(cuts) > 1 else np.empty((0, 2), np.int64)
+        return Presence(runs, mixed[some], words[some])
+
+    def and_not(self, other: Presence) -> Presence:
+        return self._combine(other, True)
+
+    def intersect(self, other: Presence) -> Presence:
+        return self._combine(other, False)
+
+    def ordinals(self) -> np.ndarray:
+        """The ordinals that are present, in order."""
+        sizes = (self.full[:, 1] - self.full[:, 0]) * 64
+        within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        of_runs = np.repeat(self.full[:, 0] * 64, sizes) + within
+        word, bit = np.nonzero(np.unpackbits(self.words.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64))
+        return np.sort(np.concatenate((of_runs, self.at[word] * 64 + bit)).astype(np.int64))
+
+
+def _runs(at: np.ndarray) -> np.ndarray:
+    """(start, end) of the runs of neighbouring positions."""
+    if not len(at):
+        return np.empty((0, 2), np.int64)
+    breaks = np.flatnonzero(np.diff(at) != 1)
+    return np.stack((at[np.concatenate(([0], breaks + 1))], at[np.concatenate((breaks, [len(at) - 1]))] + 1), 1)
 
 
 def compare_bucket(batch: pa.Table, fields: Sequence[str], missing: tuple[str, str]) -> pa.Table:
@@ -65,9 +96,9 @@ def compare_bucket(batch: pa.Table, fields: Sequence[str], missing: tuple[str, s
         codes = codes.combine_chunks()
     names, ordinal = codes.dictionary, codes.indices.to_numpy(zero_copy_only=False)
     right, n = batch["right"].to_numpy().astype(bool), len(names)
-    a, b = Presence(ordinal[~right], n), Presence(ordinal[right], n)
-    found: list[tuple[np.ndarray, str]] = [(a.and_not(b), missing[1]), (b.and_not(a), missing[0])]
-    both, place = a.intersect(b), np.empty((2, n), np.int64)
+    a, b = Presence.of(ordinal[~right].astype(np.int64)), Presence.of(ordinal[right].astype(np.int64))
+    found: list[tuple[np.ndarray, str]] = [(a.and_not(b).ordinals(), missing[1]), (b.and_not(a).ordinals(), missing[0])]
+    both, place = a.intersect(b).ordinals(), np.empty((2, n), np.int64)
     place[right.astype(int), ordinal] = np.arange(len(right))
     for f in fields:
         unlike = np.zeros(len(both), bool)

@@ -50,12 +50,18 @@ def test_values_that_move_to_a_blank_field(spark):
 
 def test_presence_bitmaps():
     rng = np.random.default_rng(1)
-    for n in (1, 64, 65, 1000):
-        a, b = (np.flatnonzero(rng.random(n) < p) for p in (0.5, 0.95))
-        x, y = copydiff.Presence(a, n), copydiff.Presence(b, n)
-        assert set(x.and_not(y)) == set(a) - set(b) and set(x.intersect(y)) == set(a) & set(b)
-    full = copydiff.Presence(np.arange(6400), 6400)
-    assert len(full.full) == 1 and len(full.words) == 0
+    for n in (0, 1, 64, 65, 1000, 5000):
+        for p, q in ((0.5, 0.95), (1, 0.999), (0.999, 1), (0, 1), (0.01, 0.999)):
+            # Stretches of each, so that runs of full and empty words meet mixed ones.
+            a, b = (np.flatnonzero((rng.random(n) < x) ^ (np.arange(n) // 300 % 3 == k)) for k, x in ((0, p), (1, q)))
+            x, y = copydiff.Presence.of(a), copydiff.Presence.of(b)
+            assert x.ordinals().tolist() == a.tolist()
+            assert x.and_not(y).ordinals().tolist() == sorted(set(a) - set(b)) and x.intersect(y).ordinals().tolist() == sorted(set(a) & set(b))
+    full, half = copydiff.Presence.of(np.arange(64_000_000)), copydiff.Presence.of(np.arange(32_000_000, 96_000_010))
+    assert full.full.tolist() == [[0, 1_000_000]] and not len(full.words)
+    both = full.intersect(half)  # a few steps, however many ordinals the runs stand for
+    assert both.full.tolist() == [[500_000, 1_000_000]] and half.and_not(full).full.tolist() == [[1_000_000, 1_500_000]]
+    assert not hasattr(copydiff.Presence, "dense")
 
 
 def test_copy_against_brute_force(spark):
