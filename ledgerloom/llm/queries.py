@@ -8,6 +8,10 @@ from ..sources.tables import table
 from . import linkage, mixing, names, pii, tokens
 
 
+# A deployment passes its own.
+SECRET = b"registered query"
+
+
 def p3_links(spark: SparkSession, folder: str) -> DataFrame:
     """The invoice that each register row books, with the confidence."""
     return linkage.link(table(spark, folder, "purchase_register"), table(spark, folder, "gstr2b_prior_period"))
@@ -48,12 +52,12 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Personal details of every document."""
-    return pii.find_details(table(spark, folder, "documents"))
+    return pii.find_details(table(spark, folder, "documents"), SECRET).select("doc_id", "kind", "found_text")
 
 
 def p8_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document with placeholders instead of personal details. A deployment passes its own secret."""
-    return pii.replace_details(table(spark, folder, "documents"), b"registered query")
+    """Every document with placeholders instead of personal details."""
+    return pii.replace_details(table(spark, folder, "documents"), SECRET)
 
 
 QUERIES = {"p3_found": p3_found, "p3_links": p3_links, "p4_found": p4_found, "p4_clusters": p4_clusters, "p6_ids": p6_ids, "p7_drawn": p7_drawn, "p7_shares": p7_shares, "p8_found": p8_found, "p8_texts": p8_texts}

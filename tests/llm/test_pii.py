@@ -85,11 +85,11 @@ def test_redact():
 def test_operators(spark):
     text = "Author: Ada Byron <a@h.example>\nAuthor: Ada Byron <a@h.example>\n"
     df = spark.createDataFrame([(1, text, "x"), (1, text, "x"), (2, None, "x"), (3, "", "x"), (None, " \n", "x"), (4, "y" * 300_000 + "\nSSN 666-12-3456", "x")], "doc_id bigint, text string, kind string")
-    got = sorted((r["doc_id"], r["kind"], r["found_text"]) for r in pii.find_details(df).collect())
+    got = sorted((r["doc_id"], r["kind"], r["found_text"]) for r in pii.find_details(df, b"k").collect())
     assert got == [(1, "email", "a@h.example")] * 2 + [(1, "person_name", "Ada Byron")] * 2 + [(4, "id_number", "666-12-3456")]
     out = {r["doc_id"]: r["text"] for r in pii.replace_details(df, b"k").collect()}
     assert out[2] is None and out[3] == "" and "666" not in out[4][-40:] and "Ada" not in out[1]
-    assert pii.find_details(df.limit(0)).count() == 0
+    assert pii.find_details(df.limit(0), b"k").count() == 0
 
 
 @pytest.mark.parametrize(
@@ -102,3 +102,53 @@ def test_cues_admit_what_the_close_look_finds(line):
 
     want = pii.find_in_line(line)
     assert want and [pii.find_in_line(x, cues) for _, x, cues in pii._maybe_lines(pa.array([line]))] == [want]
+
+
+PROSE = {
+    "seen at Grace Hopper's desk": ("person_name", "Grace Hopper"), "Reviewed by Grace Hopper yesterday": ("person_name", "Grace Hopper"),
+    "Please email Jean-Luc Picard about it": ("person_name", "Jean-Luc Picard"), "- Dr. Grace Hopper, Principal Engineer": ("person_name", "Grace Hopper"),
+    "mail josé.garcía@example.com please": ("email", "josé.garcía@example.com"), "tel:+1.415.555.0134": ("phone", "+1.415.555.0134"), "my phone: 9876543210": ("phone", "9876543210"),
+    "ship to 1600 Amphitheatre Parkway, Mountain View, CA 94043": ("street_address", "1600 Amphitheatre Parkway, Mountain View, CA 94043"), "paid by 529.982.247-25": ("id_number", "529.982.247-25"),
+}
+
+
+@pytest.mark.parametrize("line", PROSE)
+def test_prose(line):
+    kind, text = PROSE[line]
+    assert [(k, line[a:b]) for a, b, k in pii.find_in_line(line)] == [(kind, text)]
+    assert text not in pii.redact(line, b"k")
+
+
+@pytest.mark.parametrize("line", ["ref 529.982.247-26", "with Apache Spark for this", "merge to Main Branch today", "Called by Spark SQL at startup", "call Main Street at noon"])
+def test_prose_without_details(line):
+    assert pii.find_in_line(line) == []
+
+
+def test_nothing_of_a_number_stays_in_clear():
+    key = pii.secret_key(b"k")
+    for text in ("abcde1234f", "qq 64 66 10 c", "ABCDE1234F"):
+        new = pii.permute_number(text, key, "id_number")
+        assert [c.islower() for c in new] == [c.islower() for c in text] and sum(a == b for a, b in zip(new, text, strict=True) if a.isalnum()) < 4
+    assert pii.permute_number("abcde1234f", key, "id_number").upper() == pii.permute_number("ABCDE1234F", key, "id_number")
+    # Numbers whose check digits are right go to such numbers, each to another.
+    right = {"aadhaar": "2341 2341 2346", "pesel": "44051401359", "cpf": "529.982.247-25", "dni": "12345678Z", "nie": "X1234567L", "bsn": "111222333", "nir": "2 55 08 14 168 025 38"}
+    for kind, text in right.items():
+        assert pii.checked_kind(text) == kind and pii.checked_kind(pii.permute_number(text, key, "id_number")) == kind
+    valid = [t for t in (f"{i:08d}{c}" for i in range(300) for c in "TRWAG") if pii.checked_kind(t) == "dni"]
+    assert len({pii.permute_number(t, key, "id_number") for t in valid}) == len(valid) > 50
+
+
+def test_secret_and_dates():
+    assert pii.redact("a@b.example", b"x" * 64 + b"1") != pii.redact("a@b.example", b"x" * 64 + b"2")
+    one, *others = [pii.redact(f"born {d}", b"k") for d in ("1990-02-03", "03/02/1990", "3 Feb 1990", "February 3, 1990", "03.02.1990")]
+    year, month, day = one[17:-1].split("-")
+    assert others[0] == f"born <BIRTH_DATE:{day}/{month}/{year}>" and others[3] == f"born <BIRTH_DATE:{day}.{month}.{year}>" and all(year in o and "1990" not in o for o in others)
+    assert pii.redact("born 31/02/1990", b"k") == "born 31/02/1990"
+
+
+def test_found_and_replaced_are_one(spark):
+    lines = [*PROSE, "Author: Ada Byron <ada@byron.example>", "x", "", "PAN: ABCPD1234F\r\nborn 1990-02-03"]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, None), (3, "Fix")], "doc_id long, text string")
+    found, new = pii.find_details(df, b"k").collect(), {r["doc_id"]: r["text"] for r in pii.replace_details(df, b"k").collect()}
+    assert new[2] is None and new[3] == "Fix" and new[1] == pii.redact("\n".join(lines), b"k")
+    assert len(found) >= len(PROSE) - 1 and all(r["found_text"] not in new[1] and r["placeholder"] in new[1] for r in found)
