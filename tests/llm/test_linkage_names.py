@@ -173,6 +173,46 @@ def test_merging_enriches(spark):
     assert names.resolve(df.where("vendor_name <> 'Murgakmurnur Exports'")).select("cluster").distinct().count() == 2
 
 
+def grouped(spark, every):
+    df = spark.createDataFrame([(n,) for n in every], "vendor_name string")
+    got = {r["name"]: r["cluster"] for r in names.resolve(df).collect()}
+    return {frozenset(n for n in got if got[n] == c) for c in set(got.values())}
+
+
+def test_a_name_that_says_less_is_no_bridge(spark):
+    """A surname alone, an initial and a short form of two names fit several persons and join none; where one fits, they join."""
+    several = ["Smith Traders", "Robert Smith Traders", "Joseph Smith Traders", "R Smith Traders", "Richard Smith Traders"]
+    one = ["Morkel Cables", "William Morkel Cables", "Bill Morkel Cables", "W. Morkel Cables"]
+    short = ["Chris Vantok Foods", "Christine Vantok Foods", "Christopher Vantok Foods"]
+    unlisted = ["Mary Kolvar Timber", "Kolvar Timber", "M Kolvar Timber", "Rajesh Sharmak Tea", "Sharmak Tea", "Zed Sharmak Tea", "Abel Lurvok Paints", "Z Lurvok Paints"]
+    assert grouped(spark, several + one + short + unlisted) == {
+        *[frozenset([n]) for n in several + short], frozenset(one), frozenset(unlisted[:3]), *[frozenset([n]) for n in unlisted[3:]],
+    }
+
+
+def test_links_do_not_depend_on_how_many_names_there_are(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("bdgklmnprstvz") + rng.choice("aeiou") for _ in range(4)).capitalize()
+    own = ["Gidmav Timber", "Gidmav Timber, Zubtown", "Pelluk Foods", "Pelluk Foods (Zubtown)", "Rimtok Cables - Zubtown", "Rimtok Cables", "Rimtok Cables Zubtown"]
+    want = {frozenset(own[:2]), frozenset(own[2:4]), frozenset(own[4:])}
+    for n in (50, 7000):
+        assert want <= grouped(spark, own + [f"{word()} {word()} Tea" for _ in range(n)])
+
+
+def test_lines_of_trade_are_learned(spark):
+    """Groceries is in no list; it tells organisations apart all the same."""
+    shops = [f"{x} Groceries Limited" for x in ("Gidmav", "Pelluk", "Rimtok", "Zodvar", "Tulmek", "Bexnor")]
+    assert frozenset(["Gidmav Groceries Limited", "Groceries, Gidmav"]) in grouped(spark, [*shops, "Groceries, Gidmav", "Gidmav Timber"])
+
+
+def test_many_holders_of_one_surname(spark):
+    """Hundreds of persons of one surname and trade, each in two spellings, beside the surname alone."""
+    firsts = sorted(names.SHORT_NAMES)
+    every = [f"{f.capitalize()} Lolpimvun{x} Tea" for f in firsts for x in ("les", "lles")] + ["Lolpimvunles Tea"]
+    got = grouped(spark, every)
+    assert len(got) == len(firsts) + 1 and frozenset(["Lolpimvunles Tea"]) in got
+
+
 @pytest.mark.skipif(not os.path.exists(SMALL), reason="no test tables")
 def test_registered_queries_have_the_given_columns(spark):
     from ledgerloom.llm import queries
