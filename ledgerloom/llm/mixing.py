@@ -21,6 +21,8 @@ SEED = 20_260_610
 # Documents of one length are ranked within so many hash buckets, so that a length that a third of all documents have is
 # ranked by many tasks.
 RANK_BUCKETS = 256
+# Tokens that the table of the last step spans at most, five bytes each.
+MOST_ROOM = 20_000_000
 
 
 def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -28,7 +30,18 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
 
     Bounded subset sum over chunks of 1, 2, 4 and so on of a length. For every sum that becomes reachable the chunk
     that first reached it is kept, and the sum without it was reachable before: that leads back from the best sum.
+    A budget above MOST_ROOM, which only documents of millions of tokens bring about, is first brought below it with the longest
+    documents that fit.
     """
+    longest = np.zeros(len(lengths), np.int64)
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        if budget <= MOST_ROOM or lengths[i] <= 0:
+            break
+        longest[i] = min(int(counts[i]), budget // int(lengths[i]), -(-(budget - MOST_ROOM) // int(lengths[i])))
+        budget -= int(longest[i] * lengths[i])
+    if longest.any():
+        return longest + knapsack(lengths, counts - longest, min(budget, int((lengths * (counts - longest)).sum())))
+    budget = min(budget, int((lengths * counts).sum()))
     reached = np.zeros(budget + 1, bool)
     reached[0] = True
     by = np.full(budget + 1, -1, np.int32)

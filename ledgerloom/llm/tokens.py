@@ -23,8 +23,10 @@ TOKENIZER_DIR = "/opt/tokenizers"
 BYTE_BPE_50K = "byte_bpe_50k"
 # Fixed value: the pattern that splits a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-# Pieces remembered by a worker; beyond it the memory starts anew. It bounds memory and never the result.
-REMEMBERED = 400_000
+# Bytes of pieces and ids that a worker remembers; beyond it the memory starts anew. Long pieces hardly repeat and aren't
+# remembered. Both bound memory and never the result.
+REMEMBERED = 64 << 20
+LONG_PIECE = 200
 
 _encoders: dict[tuple[str, str], Encoder] = {}
 
@@ -40,6 +42,7 @@ class Encoder:
         self.core = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
         self.cuts = certain_cuts(self.ranks)
         self.known: dict[bytes, list[int]] = {}
+        self.size = 0
 
     def encode_whole(self, text: str) -> list[int]:
         """Ids of a text without cutting it."""
@@ -76,12 +79,16 @@ class Encoder:
 
     def _known_lists(self, pieces: list[bytes]) -> pa.ListArray:
         known, plain, flat, ends = self.known, self.core.encode_ordinary, [], [0]
-        if len(known) > REMEMBERED:
-            known.clear()
         for piece in pieces:
             ids = known.get(piece)
             if ids is None:
-                ids = known[piece] = plain(piece.decode())
+                ids = plain(piece.decode())
+                if len(piece) <= LONG_PIECE:
+                    if self.size > REMEMBERED:
+                        known.clear()
+                        self.size = 0
+                    known[piece] = ids
+                    self.size += len(piece) + 36 * len(ids) + 200
             flat.extend(ids)
             ends.append(len(flat))
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))

@@ -102,3 +102,15 @@ def test_mix(spark):
     assert {tuple(r) for r in drawn} == {tuple(r) for r in mix.drawn().collect()}
     empty = mixing.Mix(spark.createDataFrame([], "doc_id bigint, source string, text string"), spark.createDataFrame(plans, "plan_id string, source string, weight double, max_repeats int, budget_ratio double"))
     assert empty.drawn().count() == 0 and all(r["actual_tokens"] == 0 for r in empty.shares().collect())
+
+
+def test_long_documents_and_pieces_stay_within_memory(monkeypatch):
+    lengths, counts = np.array([30_000_000, 9_000_000, 7, 3]), np.array([2, 3, 50, 50])
+    taken = mixing.knapsack(lengths, counts, 75_000_101)
+    assert (taken <= counts).all() and int((taken * lengths).sum()) == 69_000_500
+    assert mixing.knapsack(lengths, counts, 10**12).tolist() == counts.tolist()
+    monkeypatch.setattr(tokens, "REMEMBERED", 2000)
+    enc = tokens.Encoder(tokens.TOKENIZER_DIR, tokens.BYTE_BPE_50K)
+    for text in ["x" * 5000 + " y", *[f"word{i} and word{i * 7}" for i in range(300)]]:
+        assert enc.encode(text) == enc.encode_whole(text)
+    assert enc.size < 3000 and all(len(p) <= tokens.LONG_PIECE for p in enc.known)
