@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -119,6 +120,23 @@ def calibrate(scored_labels: DataFrame) -> Calibration:
     return Calibration(chosen["threshold"], chosen["low"], chosen["high"], {k: near[k] for k in near.asDict() if k != "i"})
 
 
+def artifact(chosen: Calibration, frozen: dict[str, int] | None = None, weights: Mapping[str, float] = WEIGHTS) -> str:
+    """A calibration as JSON: threshold, plateau, the sweep's point, weights, and the one evaluation on the frozen split."""
+    return json.dumps({"threshold": chosen.threshold, "low": chosen.low, "high": chosen.high, "best": chosen.best, "weights": dict(weights), "frozen": frozen}, sort_keys=True)
+
+
+def read_artifact(text: str) -> tuple[float, dict[str, float]]:
+    """(threshold, weights) of an artifact; ValueError if either is missing or out of place."""
+    try:
+        data = json.loads(text)
+        threshold, weights = float(data["threshold"]), {str(k): float(v) for k, v in data["weights"].items()}
+    except (KeyError, TypeError, AttributeError, json.JSONDecodeError) as e:
+        raise ValueError(f"no calibration artifact: {e}") from e
+    if not 0 <= threshold <= 100 or set(weights) != set(WEIGHTS):
+        raise ValueError("threshold or weights of the artifact are out of place")
+    return threshold, weights
+
+
 def confusion(scored_labels: DataFrame, threshold: float) -> dict[str, int]:
     """Counts at one threshold; a score equal to it is positive."""
     hit = F.col("confidence") >= threshold

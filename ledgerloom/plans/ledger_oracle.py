@@ -26,8 +26,8 @@ def _valid_gstin(g: str) -> str:
 
 
 _LATER = ("itc_claimed_date", "rule88d_intimation_date", "supplier_filing_date", "simulated_current_date")
-_filings = lambda period: f"""select {', '.join(f"r.{c}" for c in (*_COLUMNS, *_LATER[2:]))} from (select max(row({', '.join(_COLUMNS)}, supplier_filing_date, gstr2b_period, simulated_current_date)) as x, max_by(t, row({', '.join(f"coalesce({c}, '')" for c in _COLUMNS)})) as r
-  from gstr2b_prior_period t where gstr2b_period = '{period}' group by record_id)"""
+_FILINGS = f"""select {', '.join(f"r.{c}" for c in (*_COLUMNS, *_LATER[2:]))} from (select max(row({', '.join(_COLUMNS)}, supplier_filing_date, gstr2b_period, simulated_current_date)) as x, max_by(t, row({', '.join(f"coalesce({c}, '')" for c in _COLUMNS)})) as r
+  from gstr2b_prior_period t where gstr2b_period = (select max(gstr2b_period) from gstr2b_prior_period) group by record_id)"""
 
 _ERRORS = (
     [(f"{_blank(c)} = ''", "missing_required_field", c) for c in ("invoice_id", "vendor_gstin", "invoice_date", "taxable_value")]
@@ -41,7 +41,7 @@ _ALL = "[x for x in [" + ", ".join(f"case when {w} then {{'e': '{e}', 'f': '{f}'
 
 _RAW = f"""both_raw as (
   select 'purchase_register' as source, {', '.join(f"coalesce({c}, '') as {c}" for c in (*_COLUMNS, *_LATER[:2]))}, '' as supplier_filing_date, coalesce(simulated_current_date, '') as simulated_current_date from purchase_register
-  union all select 'gstr2b', {', '.join(f"coalesce({c}, '')" for c in _COLUMNS)}, '', '', coalesce(supplier_filing_date, ''), coalesce(simulated_current_date, '') from ({_filings('2026-03')})
+  union all select 'gstr2b', {', '.join(f"coalesce({c}, '')" for c in _COLUMNS)}, '', '', coalesce(supplier_filing_date, ''), coalesce(simulated_current_date, '') from ({_FILINGS})
 ), judged as (select *, {_FIRST} as err from (select *, {date('invoice_date')} as d from both_raw))"""
 _TEXT = rf"regexp_replace({_blank('vendor_name')}, '\s+', ' ', 'g')"
 _NAME = rf"regexp_replace(trim(regexp_replace({_TEXT}, '^(M/[sS]|Messrs)\.?\s+', ''), ' .,;:-'), '\s+', ' ', 'g')"
@@ -135,16 +135,16 @@ SQL: dict[str, str] = {
     "validation_errors": f"with {_RAW} select source, record_id, err[1] as error_type, err[2] as field from judged where err is not null",
     "quarantine_by_error": f"with {_RAW} select source, err[1] as error_type, count(*) as n from judged where err is not null group by 1, 2",
     "all_errors": f"with {_RAW} select source, record_id, x.e as error_type, x.f as field from (select source, record_id, unnest({_ALL}) as x from judged)",
-    "gstin_checks": f"select g as vendor_gstin, {_valid_gstin('g')} as valid from (select distinct {filled('vendor_gstin')} as g from purchase_register) where g is not null",
+    "gstin_checks": f"with {_RAW} select g as vendor_gstin, {_valid_gstin('g')} as valid, case when regexp_full_match(g, '[0-9A-Z]{{14}}.') then {_digit('g')} end as digit from (select distinct {filled('vendor_gstin')} as g from both_raw) where g is not null",
     "normalized_ledger": f"with {_NORMAL} select source, record_id, invoice_id, vendor_gstin, vendor_name, invoice_date, taxable_value, cgst, sgst, igst from valid",
     "change_log": f"with {_LOGGED} " + " union all ".join(f"select source, record_id, '{f}' as field, raw_{f} as raw, {f} as normalized, '{rule}' as rule from logged where raw_{f} <> {f}" for f, (rule, _) in _CHANGED.items()),
-    "messy_names": rf"select distinct vendor_name from purchase_register where {_blank('vendor_name')} <> '' and (regexp_matches({strip('vendor_name')}, '[^A-Za-z0-9 &.,''()\-/]') or regexp_matches(vendor_name, '[0-9][A-Za-z]|[A-Za-z][0-9]') or regexp_matches(vendor_name, '[A-Za-z][,;][A-Za-z]'))",
+    "messy_names": rf"with {_RAW} select distinct vendor_name from both_raw where {_blank('vendor_name')} <> '' and (regexp_matches({strip('vendor_name')}, '[^A-Za-z0-9 &.,''()\-/]') or regexp_matches(vendor_name, '[0-9][A-Za-z]|[A-Za-z][0-9]') or regexp_matches(vendor_name, '[A-Za-z][,;][A-Za-z]'))",
     "head_profiles": f"with {_NORMAL} select source, {_PROFILE.format(p='')} as profile, count(*) as n from num group by 1, 2",
     "sure_pairs": f"""with {_NORMAL}, {_PAIRS} select left_id, right_id, gstin::double as gstin, amount::double as amount, "date"::double as "date", invoice::double as invoice, (gstin + amount + "date" + invoice)::double as sure from p where gstin + amount + "date" + invoice >= 45""",
     "scored_pairs": f'with {_SCORED} select left_id, right_id, score, gstin::double as gstin, amount::double as amount, "date"::double as "date", invoice::double as invoice, name from scored',
     "assigned_pairs": f"with recursive {_ASSIGNED} select l.record_id as left_id, p.right_id, p.score from l left join pairs p on p.left_id = l.record_id",
     "unmatched_filings": f"with recursive {_ASSIGNED} select record_id, invoice_id from r where record_id not in (select right_id from pairs)",
-    "in_earlier_snapshot": f"select record_id, coalesce(invoice_id, '') as invoice_id, coalesce(invoice_id, '') in (select invoice_id from gstr2b_prior_period where gstr2b_period = '2026-02' and invoice_id <> '' and invoice_id is not null) as present from purchase_register",
+    "in_earlier_snapshot": f"select record_id, coalesce(invoice_id, '') as invoice_id, coalesce(invoice_id, '') in (select invoice_id from gstr2b_prior_period where gstr2b_period = (select max(gstr2b_period) from gstr2b_prior_period where gstr2b_period < (select max(gstr2b_period) from gstr2b_prior_period)) and invoice_id <> '' and invoice_id is not null) as present from purchase_register",
     "evidence_fields": f"with recursive {_EVIDENCE} " + " union all ".join(f"select left_id, '{f}' as field, \"{f}\" as match from e" for f in _FIELDS),
     "evidence_deltas": f"with recursive {_EVIDENCE} select left_id, right_id, amount_delta::double as amount_delta, date_delta, tax_delta::double as tax_delta from e where found",
     "decisions": f"with recursive {_EVIDENCE} select left_id, confidence, outcome, rule_id from d",
@@ -160,6 +160,14 @@ SQL: dict[str, str] = {
     "supplier_exposure": f"with {_TOTALS} select sum(total)::double as total, coalesce(sum(total) filter (total > 75000), 0)::double as above_total, count(*) as groups, count(*) filter (total > 75000) as groups_above from totals",
     "review_queue": f"with recursive {_EVIDENCE} select row_number() over (order by case when found then 1 else 2 end, tax desc, left_id) as place, left_id, tax::double as at_risk from d where outcome <> 'auto_reconcile'",
     "decision_fields": f"with recursive {_EVIDENCE} select left_id as record_id, invoice_id, right_id as matched_record_id, outcome, array_to_string([x for x in [" + ", ".join(f"case when not \"{f}\" then '{f}' end" for f in _FIELDS) + "] if x is not null], '|') as differing_fields from d",
+    "name_points": f"with recursive {_ASSIGNED}, n as (select p.left_id, l.vendor_name as a, r.vendor_name as b, {_WORDS.format(c='l.vendor_name')} as x, {_WORDS.format(c='r.vendor_name')} as y from pairs p join l on l.record_id = p.left_id join r on r.record_id = p.right_id) select left_id, round(case when a = '' or b = '' then (a = b)::int::double else {_ratio('a', 'b')} end, 9) as ratio, round(case when x = '' or y = '' then (x = y)::int::double else {_ratio('x', 'y')} end, 9) as sorted_ratio from n",
+    "contributions": f"with recursive {_EVIDENCE} " + " union all ".join(f"select left_id, '{f}' as field, case when \"{f}\" then {w}::double else 0::double end as points from e" for f, w in (("gstin", 30), ("amount", 30), ("invoice_number", 20), ("date", 10), ("vendor_name", 5), ("tax_heads", 5))),
+    "check_counts": f"with recursive {_EVIDENCE}, k as (select case when sum(tax) over (partition by lg) > 75000 then 'breached' else 'within_threshold' end as status from d) select 'sum' as check_id, status, count(*) as n from k group by 2",
+    "check_flags": f"with recursive {_EVIDENCE} select left_id, case when sum(tax) over (partition by lg) > 75000 then 'breached' else 'within_threshold' end as status from d",
+    "running_totals": f"with {_NORMAL} select record_id, (sum(i + c + s) over (partition by vendor_gstin order by record_id rows unbounded preceding))::double as so_far from l",
+    "calibrated": f"with recursive {_SWEEP}, top as (select *, i - row_number() over (order by i) as run from rated where abs(j - (select max(j) from rated)) < 1e-12), runs as (select run, min(threshold)::double as low, max(threshold)::double as high, count(*) as n from top group by 1), best as (select low, high, (low + high) / 2 as t from runs order by n desc, low limit 1) select t as threshold, low, high, tp, fp, tn, fn from best, rated order by abs(threshold::double - t), threshold limit 1".replace("order by abs(threshold::double - t), threshold limit 1", "order by abs(rated.threshold::double - t), rated.threshold limit 1"),
+    "stricter_decisions": f"with recursive {_EVIDENCE}, s as (select left_id, outcome as outcome_1, case when confidence >= 95 and gstin and amount and invoice_number then 'auto_reconcile' when rule_id is not null then 'classified_exception' else 'indeterminate' end as outcome_2 from d) select * from s where outcome_1 <> outcome_2",
+    "pending_by_run": "select run_id, count(*) as n from (select run_id from quarantine_log qualify row_number() over (partition by record_id order by run_sequence desc, id desc) = 1) group by 1",
     "log_runs": "select run_id, count(*) as n, strftime(min(timestamp at time zone 'UTC'), '%Y-%m-%d %H:%M:%S') as first_timestamp from quarantine_log group by 1",
     "log_counts_by_error": "select run_id, coalesce(validation_error, '(none)') as validation_error, count(*) as n from quarantine_log group by 1, 2",
     "log_latest": "select record_id, run_id, run_sequence, id from quarantine_log qualify row_number() over (partition by record_id order by run_sequence desc, id desc) = 1",

@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import gstin, parse, text
 from ..operators import confidence, evidence, matching, normalize, rules, validate
 from ..session import store
+from ..sources import logs
 from ..sources.tables import FILING_COLUMNS, as_source, table
-from . import report
+from . import pipeline, report
 
-NEWEST = "2026-03"
-EARLIER = "2026-02"
 MONEY = "decimal(24,2)"
 
 
@@ -20,9 +19,16 @@ def register(spark: SparkSession, folder: str) -> DataFrame:
     return as_source(table(spark, folder, "purchase_register"), "purchase_register")
 
 
-def filings(spark: SparkSession, folder: str, period: str = NEWEST) -> DataFrame:
-    """A filed snapshot, one row for each record_id: of rows delivered twice the greatest stands."""
-    rows = table(spark, folder, "gstr2b_prior_period").where(F.col("gstr2b_period") == period).select(*FILING_COLUMNS)
+def periods(spark: SparkSession, folder: str) -> tuple[str | None, str | None]:
+    """(newest, the one before) of the delivered snapshots; null where there is none. The driver gets these two only."""
+    p = table(spark, folder, "gstr2b_prior_period").select(parse.filled("gstr2b_period").alias("p")).where("p is not null").distinct()
+    return (*[r["p"] for r in p.orderBy(F.col("p").desc()).limit(2).collect()], None, None)[:2]
+
+
+def filings(spark: SparkSession, folder: str, period: str | None = None) -> DataFrame:
+    """A filed snapshot, the newest by default, one row for each record_id: of rows delivered twice the greatest stands."""
+    period = period or periods(spark, folder)[0]
+    rows = table(spark, folder, "gstr2b_prior_period").where(F.col("gstr2b_period") == F.lit(period)).select(*FILING_COLUMNS)
     once = rows.groupBy("record_id").agg(F.max(F.struct(*FILING_COLUMNS)).alias("v")).select("v.*")
     return as_source(once, "gstr2b")
 
@@ -95,9 +101,9 @@ def all_errors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def gstin_checks(spark: SparkSession, folder: str) -> DataFrame:
-    """Different GSTINs as written, whether they're valid, and the digit they ought to end in."""
-    g = table(spark, folder, "purchase_register").select(parse.filled("vendor_gstin").alias("g")).where("g is not null").distinct()
-    return g.select(F.col("g").alias("vendor_gstin"), gstin.is_valid("g").alias("valid"))
+    """Different GSTINs of either ledger as written, whether they're valid, and the digit that those of 15 characters ought to end in."""
+    g = _both(spark, folder).select(parse.filled("vendor_gstin").alias("g")).where("g is not null").distinct()
+    return g.select(F.col("g").alias("vendor_gstin"), gstin.is_valid("g").alias("valid"), F.when(F.length("g") == 15, gstin.check_digit(F.substring("g", 1, 14))).alias("digit"))
 
 
 def normalized_ledger(spark: SparkSession, folder: str) -> DataFrame:
@@ -109,7 +115,8 @@ def change_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def messy_names(spark: SparkSession, folder: str) -> DataFrame:
-    n = table(spark, folder, "purchase_register").select("vendor_name").where("vendor_name is not null").distinct()
+    """Different names of either ledger that look damaged."""
+    n = _both(spark, folder).select("vendor_name").distinct()
     return n.where(text.looks_messy("vendor_name"))
 
 
@@ -150,7 +157,9 @@ def unmatched_filings(spark: SparkSession, folder: str) -> DataFrame:
 def in_earlier_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     """Register rows and whether their number, as written, is in the snapshot before."""
     rows = register(spark, folder).select("record_id", "invoice_id")
-    return rules.with_presence(rows, filings(spark, folder, EARLIER), "invoice_id", "present")
+    earlier = periods(spark, folder)[1]
+    known = filings(spark, folder, earlier) if earlier else filings(spark, folder).where("false")
+    return rules.with_presence(rows, known, "invoice_id", "present")
 
 
 # --- Evidence, confidence, gate ---------------------------------------------------------------------------------------------
@@ -236,6 +245,58 @@ def review_queue(spark: SparkSession, folder: str) -> DataFrame:
     return report.review_queue(d, F.when(F.col("found"), 1).otherwise(2), F.col("evidence.tax_heads.left_total")).select("place", "left_id", F.col("at_risk").cast("double").alias("at_risk"))
 
 
+def name_points(spark: SparkSession, folder: str) -> DataFrame:
+    """How alike the names of assigned pairs are, as written and whatever the order of their words."""
+    found, l, r = _matched(spark, folder)  # noqa: E741
+    named = lambda df, i, n: df.select(F.col("record_id").alias(i), F.col("vendor_name").alias(n), text.sorted_words("vendor_name").alias(f"{n}_sorted"))
+    pairs = found.matches.where("right_id is not null").join(named(l, "left_id", "a"), "left_id").join(named(r, "right_id", "b"), "right_id")
+    pairs = text.with_ratio(text.with_ratio(pairs, "a", "b", "ratio"), "a_sorted", "b_sorted", "sorted_ratio")
+    return pairs.select("left_id", F.round("ratio", 9).alias("ratio"), F.round("sorted_ratio", 9).alias("sorted_ratio"))
+
+
+def contributions(spark: SparkSession, folder: str) -> DataFrame:
+    """What each field gave to the confidence of each record."""
+    d = confidence.score(_evidence(spark, folder))
+    return d.select("left_id", F.explode("contributions").alias("field", "points"))
+
+
+def check_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Statuses of the operational checks over all records."""
+    return report.check_counts(_decided(spark, folder))
+
+
+def check_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """The status of the check of sums of each record."""
+    return _decided(spark, folder).select("left_id", rules.flag("sum")["status"].alias("status"))
+
+
+def running_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Tax of each supplier up to and with each valid register row, by record."""
+    l, _ = _sides(spark, folder)
+    rows = rules.running_total(l.withColumn("tax", _tax()), "vendor_gstin", "tax", "record_id", "so_far")
+    return rows.select("record_id", F.col("so_far").cast("double").alias("so_far"))
+
+
+def calibrated(spark: SparkSession, folder: str) -> DataFrame:
+    """The threshold that a calibration on the labels of the sweep chooses, and the counts at the point nearest to it."""
+    c = confidence.calibrate(store(_labelled(spark, folder)))
+    row = (c.threshold, c.low, c.high, *[c.best[k] for k in ("tp", "fp", "tn", "fn")])
+    return spark.createDataFrame([row], "threshold double, low double, high double, tp bigint, fp bigint, tn bigint, fn bigint")
+
+
+def stricter_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    """Decisions that a threshold of 95 instead of 80.25 changes, as the difference of two runs."""
+    scored = store(confidence.score(rules.classify(_evidence(spark, folder), RULES)))
+    one, two = (confidence.decide(scored, t) for t in (80.25, 95.0))
+    return pipeline.decision_differences(one, two).select("left_id", "outcome_1", "outcome_2")
+
+
+def pending_by_run(spark: SparkSession, folder: str) -> DataFrame:
+    """Log rows that no later run logs again, by run."""
+    rows = _log(spark, folder).select("record_id", "run_id", "run_sequence", "id")
+    return matching.latest(rows, ["record_id"], F.struct("run_sequence", "id")).groupBy("run_id").agg(F.count("*").alias("n"))
+
+
 def decision_fields(spark: SparkSession, folder: str) -> DataFrame:
     """The export of decisions."""
     return report.decisions_table(_decided(spark, folder)).select("record_id", "invoice_id", "matched_record_id", "outcome", "differing_fields")
@@ -247,12 +308,12 @@ def _log(spark: SparkSession, folder: str) -> DataFrame:
 
 def log_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Runs of the log with their rows and first time."""
-    return _log(spark, folder).groupBy("run_id").agg(F.count("*").alias("n"), F.date_format(F.min("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("first_timestamp"))
+    return logs.runs_of(_log(spark, folder)).withColumn("first_timestamp", F.date_format("first_timestamp", "yyyy-MM-dd HH:mm:ss"))
 
 
 def log_counts_by_error(spark: SparkSession, folder: str) -> DataFrame:
     """Logged reasons by run, null as (none)."""
-    return _log(spark, folder).groupBy("run_id", F.coalesce("validation_error", F.lit("(none)")).alias("validation_error")).agg(F.count("*").alias("n"))
+    return logs.counts_of(_log(spark, folder), "validation_error", "run_id")
 
 
 def log_latest(spark: SparkSession, folder: str) -> DataFrame:
@@ -267,6 +328,6 @@ QUERIES = {
         validation_errors, quarantine_by_error, all_errors, gstin_checks, normalized_ledger, change_log, messy_names, head_profiles, sure_pairs, scored_pairs,
         assigned_pairs, unmatched_filings, in_earlier_snapshot, evidence_fields, evidence_deltas, decisions, outcome_counts, match_rates, exceptions_by_category,
         confidence_summary, confidence_histogram, threshold_sweep, threshold_plateau, split_sizes, supplier_totals, supplier_exposure, review_queue,
-        decision_fields, log_runs, log_counts_by_error, log_latest,
+        name_points, contributions, check_counts, check_flags, running_totals, calibrated, stricter_decisions, pending_by_run, decision_fields, log_runs, log_counts_by_error, log_latest,
     )
 }

@@ -14,6 +14,7 @@ from ..session import cut
 from ..sources import logs
 from ..sources.tables import columns_of
 
+# Fixed value: the calibrated threshold.
 THRESHOLD = 80.25
 NO_RULES = rules.RuleSet("none")
 
@@ -84,8 +85,9 @@ def run(
     extra = l.select(F.col("record_id").alias("left_id"), F.col("raw").alias("left_raw"), *[F.col(c) for c in ("itc_claimed_date", "rule88d_intimation_date", "simulated_current_date") if c in l.columns])
     records = found.join(extra, "left_id")
     if snapshot is not None:
-        records = records.withColumn("_raw_invoice", F.col("evidence.invoice_number.left_value"))
-        records = rules.with_presence(records, snapshot, "invoice_id", "in_snapshot") if "invoice_id" not in records.columns else records
+        # invoice_id is never normalised, so the evidence holds it as written.
+        records = records.withColumn("_number", F.col("evidence.invoice_number.left_value"))
+        records = rules.with_presence(records, snapshot.select(F.col("invoice_id").alias("_number")), "_number", "in_snapshot").drop("_number")
     records = stage("rules", rules.with_checks(rules.classify(records, rule_set), rule_set))
     decided = cut(confidence.decide(confidence.score(records, weights), threshold))
     if timed:
@@ -125,10 +127,15 @@ def fingerprint(result: Run) -> str:
     return hashlib.sha256(repr((result.threshold, result.rules_version, *total)).encode()).hexdigest()
 
 
+def decision_differences(one: DataFrame, two: DataFrame) -> DataFrame:
+    """Records whose partner, outcome or confidence differs between two tables of decisions, nulls being equal to each other."""
+    a, b = (x.select("left_id", F.col("right_id").alias(f"right_{i}"), F.col("outcome").alias(f"outcome_{i}"), F.col("confidence").alias(f"confidence_{i}")) for i, x in ((1, one), (2, two)))
+    return a.join(b, "left_id", "full").where(~(F.col("outcome_1").eqNullSafe(F.col("outcome_2")) & F.col("right_1").eqNullSafe(F.col("right_2")) & F.col("confidence_1").eqNullSafe(F.col("confidence_2"))))
+
+
 def differences(one: Run, two: Run) -> tuple[DataFrame, DataFrame]:
     """(decisions that differ, fields whose evidence differs) of two runs over the same records, nulls being equal to each other."""
-    a, b = (x.decisions.select("left_id", F.col("right_id").alias(f"right_{i}"), F.col("outcome").alias(f"outcome_{i}"), F.col("confidence").alias(f"confidence_{i}")) for i, x in ((1, one), (2, two)))
-    decisions = a.join(b, "left_id", "full").where(~(F.col("outcome_1").eqNullSafe(F.col("outcome_2")) & F.col("right_1").eqNullSafe(F.col("right_2")) & F.col("confidence_1").eqNullSafe(F.col("confidence_2"))))
+    decisions = decision_differences(one.decisions, two.decisions)
     c, d = (evidence.long_form(x.decisions).select("left_id", "field", F.struct("left_value", "right_value", "match").alias(f"v{i}")) for i, x in ((1, one), (2, two)))
     fields = c.join(d, ["left_id", "field"], "full").where(~F.col("v1").eqNullSafe(F.col("v2")))
     return decisions, fields

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import confidence, matching
+from ..session import write_text
 
 # --- Labels: read on this side only -------------------------------------------------------------------------------------
 
@@ -74,6 +75,13 @@ def accuracy(decisions: DataFrame, labels: DataFrame, key: str = "pr_record_id")
     return both.agg(F.count("*").alias("n"), right.alias("right"), rate.alias("rate")), both.where("outcome <> expected_outcome").select("left_id", "outcome", "expected_outcome", "reason")
 
 
+def audit_summary(audit_entries: DataFrame, labels: DataFrame, label_key: str = "pr_record_id") -> DataFrame:
+    """(split, action, n, reviewed, mean_confidence) of audit rows by the split that their labels name; without a label the split is null."""
+    splits = labels.select(F.col(label_key).alias("record_id"), "split").groupBy("record_id").agg(F.min("split").alias("split"))
+    rows = audit_entries.join(splits, "record_id", "left")
+    return rows.groupBy("split", "action").agg(F.count("*").alias("n"), F.count("reviewer_decision").alias("reviewed"), F.round(F.avg("confidence_score"), 6).alias("mean_confidence"))
+
+
 def exposure(totals: DataFrame) -> DataFrame:
     """One row over group totals (see rules.group_totals): sums and numbers of groups, of all and of those above the limit."""
     above = F.col("status") == "breached"
@@ -90,8 +98,11 @@ def review_queue(decisions: DataFrame, priority: Column, amount: Column) -> Data
     return matching.ranked(waiting, F.col("priority"), F.col("at_risk").desc_nulls_last(), F.col("left_id"))
 
 
-def report(decisions: DataFrame, invalid: DataFrame, labels: DataFrame | None = None, split: str | None = None) -> dict:
-    """A report as a plain dict, from small aggregates. split: restrict decisions to it; quarantine counts are of the whole batch."""
+def report(
+    decisions: DataFrame, invalid: DataFrame, labels: DataFrame | None = None, split: str | None = None, totals: DataFrame | None = None, audit_entries: DataFrame | None = None
+) -> dict:
+    """A report as a plain dict, from small aggregates. split: restrict decisions to it; quarantine counts are of the whole batch. totals:
+    group totals whose exposure is reported; audit_entries: audit rows to summarise by the labels' splits."""
     d = of_split(decisions, labels, split) if labels is not None and split else decisions
     rows = lambda df: [r.asDict() for r in df.collect()]
     out = {
@@ -106,6 +117,10 @@ def report(decisions: DataFrame, invalid: DataFrame, labels: DataFrame | None =
     }
     if labels is not None:
         out["accuracy"] = rows(accuracy(d, labels)[0])[0]
+        if audit_entries is not None:
+            out["audit"] = rows(audit_summary(audit_entries, labels).orderBy("split", "action"))
+    if totals is not None:
+        out["exposure"] = rows(exposure(totals))[0]
     return out
 
 
@@ -139,7 +154,16 @@ def quarantine_table(invalid: DataFrame) -> DataFrame:
     return invalid.select("source", "source_id", F.col("error.error_type").alias("validation_error"), F.col("error.field").alias("error_field"), F.col("error.message").alias("validation_message"))
 
 
-EXPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {"decisions": decisions_table, "quarantine": quarantine_table}
+def queue_table(queue: DataFrame) -> DataFrame:
+    """A review_queue as a table."""
+    return queue.select("place", F.col("left_id").alias("record_id"), F.col("right_id").alias("matched_record_id"), "priority", "at_risk", "confidence", F.array_join("mismatched_fields", "|").alias("differing_fields"), "reason")
+
+
+def audit_table(audit_entries: DataFrame) -> DataFrame:
+    return audit_entries.select("run_id", "run_sequence", "record_id", "invoice_id", "rule_id_fired", "category", "confidence_score", "action", "reviewer_decision", "reason", "timestamp")
+
+
+EXPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {"decisions": decisions_table, "quarantine": quarantine_table, "queue": queue_table, "audit": audit_table}
 
 
 def export_csv(table: DataFrame, path: str) -> None:
@@ -149,3 +173,9 @@ def export_csv(table: DataFrame, path: str) -> None:
 
 def export_json(data: dict) -> str:
     return json.dumps(data, sort_keys=True, default=str, indent=2)
+
+
+def write_report(spark: SparkSession, data: dict, folder: str) -> None:
+    """The report as report.json and report.txt in a folder of any file system."""
+    write_text(spark, f"{folder}/report.json", export_json(data))
+    write_text(spark, f"{folder}/report.txt", render(data))

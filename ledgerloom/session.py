@@ -27,10 +27,12 @@ def local_session(app: str = "ledgerloom", cores: int | str = "*", partitions: i
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: ``spark.checkpoint.dir`` of the session. Only where that is unset, as in
-    tests on one machine, a temporary folder is set."""
+    """Folder that all executors share: ``spark.checkpoint.dir`` of the session. Only where that is unset and all runs in one
+    process, as in tests, a temporary folder is set; a cluster without a shared folder raises ValueError."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="ledgerloom-")
         spark.sparkContext.setCheckpointDir(folder)
     elif not spark.sparkContext.getCheckpointDir():
@@ -39,7 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of df written to the shared folder, with a lineage that starts there. Runs a job now."""
+    """The rows of df written to the shared folder, with a lineage that starts there. Runs a job now. For rows whose order within their
+    partitions counts; see store for all else."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -73,11 +76,32 @@ def store(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> bool:
+    """Delete a folder or file on whatever file system its path names; False if there is none."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return bool(system.exists(target) and system.delete(target, True))
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text to one file on whatever file system its path names, in place of any that is there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """The text of one small file."""
+    return spark.read.option("wholetext", True).text(path).collect()[0][0]
+
+
 def _forget(spark: SparkSession) -> None:
     try:
         for path in _stored:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            delete(spark, path)
     except Exception:  # the session is gone; whoever owns the folder empties it
         pass
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import shutil
 from dataclasses import dataclass
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import delete, store
+
 ALL_RUNS = "*"
 LEGACY_RUN = "run-legacy"
 
@@ -64,35 +64,50 @@ class Log:
         return (got or 0) + 1
 
     def append(self, rows: DataFrame) -> None:
-        """Add rows in one write. A run and record that are there already, or come twice, raise ImmutableLogError."""
+        """Add rows in one write. A run and record that are there already, or come twice, raise ImmutableLogError.
+
+        Only the partitions of the runs in rows are read. One writer at a time: two that append the same run at once can't see each other.
+        """
         names = [f.name for f in T.StructType.fromDDL(self.schema)]
         rows = rows.select(*[F.col(n) if n in rows.columns else F.lit(None).alias(n) for n in names])
         rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in T.StructType.fromDDL(self.schema)])
         if "run_sequence" in names:
+            rows = store(rows)
+            runs = [r["run_id"] for r in rows.select("run_id").distinct().collect()]  # as many as runs are written at once
             twice = rows.groupBy("run_id", "record_id").agg(F.count("*").alias("n")).where("n > 1")
-            known = rows.join(self.read(ALL_RUNS).select("run_id", "record_id"), ["run_id", "record_id"], "left_semi")
+            known = rows.join(self.read(ALL_RUNS).where(F.col("run_id").isin(runs)).select("run_id", "record_id"), ["run_id", "record_id"], "left_semi")
             if not twice.isEmpty() or not known.isEmpty():
                 raise ImmutableLogError("a record of a run is in the log already, or twice in the rows to add")
         rows.write.mode("append").partitionBy("run_id").parquet(self.path)
 
     def runs(self) -> DataFrame:
         """(run_id, n, first_timestamp) of all runs."""
-        return self.read(ALL_RUNS).groupBy("run_id").agg(F.count("*").alias("n"), F.min("timestamp").alias("first_timestamp"))
+        return runs_of(self.read(ALL_RUNS))
 
     def count(self, run_id: str | None = None) -> int:
         return self.read(run_id).count()
 
     def counts_by(self, column: str, run_id: str | None = None) -> DataFrame:
         """(column, n); null counts as ``(none)``."""
-        return self.read(run_id).groupBy(F.coalesce(F.col(column), F.lit("(none)")).alias(column)).agg(F.count("*").alias("n"))
+        return counts_of(self.read(run_id), column)
 
     def history(self, record_id: str) -> DataFrame:
         """All rows of a record in the order of runs."""
         return self.read(ALL_RUNS).where(F.col("record_id") == record_id).orderBy("run_sequence" if "run_sequence" in self.schema else "seq")
 
     def purge(self) -> None:
-        """Delete the log; for tests."""
-        shutil.rmtree(Path(self.path), ignore_errors=True)
+        """Delete the log, on whatever file system it is; for tests. A log not yet written is no error."""
+        delete(self.spark, self.path)
+
+
+def runs_of(rows: DataFrame) -> DataFrame:
+    """(run_id, n, first_timestamp) of the runs of log rows."""
+    return rows.groupBy("run_id").agg(F.count("*").alias("n"), F.min("timestamp").alias("first_timestamp"))
+
+
+def counts_of(rows: DataFrame, column: str, *by: str) -> DataFrame:
+    """(by, column, n) of log rows; null counts as ``(none)``."""
+    return rows.groupBy(*by, F.coalesce(F.col(column), F.lit("(none)")).alias(column)).agg(F.count("*").alias("n"))
 
 
 def quarantine_log(spark: SparkSession, folder: str) -> Log:
@@ -127,11 +142,14 @@ def audit_rows(decisions: DataFrame, run_id: str, sequence: int, now: str) -> Da
     )
 
 
-def record_audit(audit: Log, quarantine: Log, rows: DataFrame, prefix: str = "") -> None:
-    """Append audit rows; QuarantinedRecordError if the same run quarantined one of them. prefix: what the quarantine log's
-    record ids have before the audited ones."""
+def record_audit(audit: Log, quarantine: Log, rows: DataFrame, prefix: str = "", any_run: bool = False) -> None:
+    """Append audit rows; QuarantinedRecordError if the same run, or any run if any_run, quarantined one of them. prefix: what the
+    quarantine log's record ids have before the audited ones."""
     run = rows.select("run_id", F.concat(F.lit(prefix), F.col("record_id")).alias("record_id"))
-    if not run.join(quarantine.read(ALL_RUNS).select("run_id", "record_id"), ["run_id", "record_id"], "left_semi").isEmpty():
+    bad = quarantine.read(ALL_RUNS)
+    if not any_run:
+        bad = bad.where(F.col("run_id").isin([r["run_id"] for r in rows.select("run_id").distinct().collect()]))
+    if not run.join(bad.select("run_id", "record_id"), ["record_id"] if any_run else ["run_id", "record_id"], "left_semi").isEmpty():
         raise QuarantinedRecordError("a quarantined record of this run can't be audited")
     audit.append(rows)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 # Column order of the delivered files.
 FILING_COLUMNS = [
@@ -46,12 +46,16 @@ def read_csv(spark: SparkSession, path: str, source: str) -> DataFrame:
     names = columns_of(source)
     raw = spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path)
     have = set(raw.columns)
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at")]
     cells = [(F.coalesce(F.col(n).cast("string"), F.lit("")) if n in have else F.lit("")).alias(n) for n in names]
-    spec = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("row_number", T.LongType())])
-    # A dense row number in file order: zipWithIndex counts per partition first and needs no shuffle.
-    rows = raw.select(*cells).rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
+    rows = raw.select(*cells, *place)
+    # A block of a file is read by one task in its order; the rows of the blocks before it are counted, a row for each block.
+    blocks = rows.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("_file", "_block", (before - F.col("_first")).alias("_offset"))
     return (
-        spark.createDataFrame(rows, spec)
+        rows.join(blocks, ["_file", "_block"])
+        .select(*names, (F.col("_at") + F.col("_offset") + 1).alias("row_number"))
         .withColumn("source", F.lit(source))
         .withColumn("source_id", F.concat_ws(":", "source", "record_id"))
     )

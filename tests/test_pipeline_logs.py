@@ -2,7 +2,8 @@ import json
 
 import pytest
 
-from ledgerloom.operators import rules
+from ledgerloom.__main__ import main
+from ledgerloom.operators import confidence, rules
 from ledgerloom.plans import pipeline, report
 from ledgerloom.sources import logs
 from ledgerloom.sources.tables import FILING_COLUMNS, as_source, columns_of, read_all, read_csv
@@ -100,3 +101,80 @@ def test_stream(spark, tmp_path):
     q = microbatch.ingest(microbatch.ledger_stream(spark, str(tmp_path / "in"), "gstr2b"), str(tmp_path / "ok"), str(tmp_path / "bad"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert [r["record_id"] for r in spark.read.parquet(str(tmp_path / "ok")).collect()] == ["R1"] and spark.read.parquet(str(tmp_path / "bad")).count() == 1
+
+
+def test_rules_see_an_earlier_snapshot(spark, sides):
+    """Presence goes by the number as written, for records with and without a partner."""
+    rs = rules.load({"version": "v", "rules": [{"rule_id": "S", "category": "gone", "when": "not found and in_snapshot", "reason": "'was there'"}, {"rule_id": "T", "category": "seen", "when": "in_snapshot"}]})
+    snapshot = frame(spark, [ledger(invoice_id="INV-9"), ledger(invoice_id="INV-2604-00002"), ledger(invoice_id="inv-2604-00004"), ledger(invoice_id="INV-9")])
+    run = pipeline.run(*sides, rule_set=rs, snapshot=snapshot)
+    got = {r["left_id"]: (r["in_snapshot"], r["classification"]["rule_id"]) for r in run.decisions.collect()}
+    assert got["PN"] == (True, "S") and got["P2"] == (True, "T") and got["P4"] == (False, None) and len(got) == 13
+    assert not any(r["in_snapshot"] for r in pipeline.run(*sides, snapshot=snapshot.limit(0)).decisions.collect())
+
+
+def test_row_numbers_over_blocks(spark, tmp_path):
+    for name, n in (("a", 3000), ("b", 500)):
+        (tmp_path / f"{name}.csv").write_text("record_id,invoice_id\n" + "".join(f"{name}{i},x\n" for i in range(1, n + 1)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = read_csv(spark, str(tmp_path), "gstr2b").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 3500 and all(int(r["record_id"][1:]) == r["row_number"] for r in rows)
+
+
+def test_guard_over_all_runs_and_purge(spark, tmp_path):
+    quarantine, audit = logs.quarantine_log(spark, str(tmp_path)), logs.audit_log(spark, str(tmp_path))
+    audit.purge()
+    row = spark.createDataFrame([("run-1", 1, "P1")], "run_id string, run_sequence int, record_id string")
+    quarantine.append(row)
+    later = row.withColumn("run_id", logs.F.lit("run-2"))
+    logs.record_audit(audit, quarantine, later)
+    with pytest.raises(logs.QuarantinedRecordError):
+        logs.record_audit(audit, quarantine, later.withColumn("run_id", logs.F.lit("run-3")), any_run=True)
+    assert audit.count(logs.ALL_RUNS) == 1
+    audit.purge()
+    assert audit.count(logs.ALL_RUNS) == 0 and quarantine.count() == 1
+
+
+def test_artifact(spark):
+    scored = spark.createDataFrame([(90.0, True)] * 5 + [(50.0, False)] * 5, "confidence double, label boolean")
+    c = confidence.calibrate(scored)
+    text = confidence.artifact(c, confidence.confusion(scored, c.threshold))
+    assert confidence.read_artifact(text) == (c.threshold, confidence.WEIGHTS) and json.loads(text)["frozen"] == {"tp": 5, "fp": 0, "tn": 5, "fn": 0}
+    for bad in ("", "[]", "{}", text.replace('"gstin"', '"other"'), text.replace(str(c.threshold), "101.0")):
+        with pytest.raises(ValueError):
+            confidence.read_artifact(bad)
+
+
+def test_command_line_writes_reports_and_exports(spark, sides, tmp_path):
+    left, right = sides
+    frame(spark, [r.asDict() for r in left.select(*columns_of("purchase_register")).collect()], columns_of("purchase_register")).write.parquet(f"{tmp_path}/left")
+    right.select(*FILING_COLUMNS).write.parquet(f"{tmp_path}/right")
+    labels = "pr_record_id,expected_outcome,split\n" + "".join(f"P{i},{'auto_reconcile' if i != 3 else 'indeterminate'},{'calibration' if i % 2 else 'frozen_test'}\n" for i in range(12))
+    (tmp_path / "labels.csv").write_text(labels)
+    base = ["--left", f"{tmp_path}/left", "--right", f"{tmp_path}/right", "--labels", f"{tmp_path}/labels.csv", "--artifact", f"{tmp_path}/artifact.json"]
+    assert main(["calibrate", *base, "--split", "calibration", "--frozen", "frozen_test"]) == 0
+    assert main(["run", *base, "--export", f"{tmp_path}/out", "--logs", f"{tmp_path}/logs", "--snapshot", f"{tmp_path}/right"]) == 0
+    data = json.loads((tmp_path / "out/report.json").read_text())
+    assert data["accuracy"]["n"] == 12 and (tmp_path / "out/report.txt").read_text().startswith("Reconciliation report")
+    for name, n in (("decisions", 13), ("quarantine", 1), ("audit", 13), ("queue", data["outcomes"]["indeterminate"])):
+        assert spark.read.option("header", True).csv(f"{tmp_path}/out/{name}").count() == n
+    summary = report.audit_summary(logs.audit_log(spark, f"{tmp_path}/logs").read(), report.read_labels(spark, f"{tmp_path}/labels.csv")).collect()
+    assert sum(r["n"] for r in summary) == 13 and {r["split"] for r in summary} == {"calibration", "frozen_test", None}
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from ledgerloom import session
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Spark:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(ValueError):
+        session.shared_dir(Spark)
