@@ -74,4 +74,5 @@ def with_ratio(pairs: DataFrame, a: str, b: str, out: str) -> DataFrame:
                 values.append(known[k])
             yield pd.Series(values, dtype="float64")
 
-    return pairs.withColumn(out, compare(a, b))
+    # A filter on the ratio would otherwise be moved before it and compute it once more.
+    return pairs.withColumn(out, compare.asNondeterministic()(a, b))

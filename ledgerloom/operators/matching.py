@@ -238,18 +238,29 @@ def cheap_scores(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFra
 def scored_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """Pairs that reach min_score: (left_id, right_id, score, gstin, amount, date, invoice, name).
 
-    Texts are compared only for pairs that can still reach it with full points for both texts.
+    Texts are compared only for pairs that can still reach it. Two texts have at most as many edits as their ratio lacks characters, so
+    edits, counted inside Spark, tell which texts earn nothing; equal ones earn all.
     """
     both = _sides(pairs, left, right).select("left_id", "right_id", "l", "r", *[f().alias(n) for n, f in SCORERS.items()])
     sure = sum((F.col(n) for n in SCORERS), F.lit(0.0))
-    open_ = F.when(F.col("invoice") > 0, 0.0).otherwise(INVOICE_CLOSE)
-    both = both.where(sure + NAME_EQUAL + open_ >= min_score)
-    texts = both.select("*", F.col("l.words").alias("_a"), F.col("r.words").alias("_b"), F.col("l.invoice").alias("_c"), F.col("r.invoice").alias("_d"))
-    texts = text.with_ratio(text.with_ratio(texts, "_a", "_b", "_name"), "_c", "_d", "_invoice")
-    present = lambda x, y: (F.col(x) != "") & (F.col(y) != "")
-    close = lambda r, start, points: F.when(F.col(r) > start, points * (F.col(r) - start) / (1 - start)).otherwise(0.0)
-    name = F.when(present("_a", "_b"), close("_name", NAME_FROM, NAME_EQUAL)).otherwise(0.0)
-    invoice = F.when(F.col("invoice") > 0, F.col("invoice")).when(present("_c", "_d"), close("_invoice", INVOICE_FROM, INVOICE_CLOSE)).otherwise(0.0)
+    both = both.where(sure + NAME_EQUAL + F.when(F.col("invoice") > 0, 0.0).otherwise(INVOICE_CLOSE) >= min_score)
+
+    def may(a: str, b: str, start: float) -> Column:
+        edits = F.levenshtein(a, b) < (1 - start) * (F.length(a) + F.length(b)) + 1e-9
+        return (F.col(a) != "") & (F.col(b) != "") & ((F.col(a) == F.col(b)) | edits)
+
+    texts = {"_a": F.col("l.words"), "_b": F.col("r.words"), "_c": F.col("l.invoice"), "_d": F.col("r.invoice")}
+    texts = parse.staged(both.select("left_id", "right_id", *SCORERS, *[c.alias(n) for n, c in texts.items()]), {
+        "_names": may("_a", "_b", NAME_FROM), "_numbers": (F.col("invoice") == 0) & may("_c", "_d", INVOICE_FROM),
+    })
+    texts = texts.where(sure + F.when(F.col("_names"), NAME_EQUAL).otherwise(0.0) + F.when(F.col("_numbers"), INVOICE_CLOSE).otherwise(0.0) >= min_score)
+    # What needs no comparison goes along as null.
+    some = lambda ok, c, d: F.when(F.col(ok) & (F.col(c) != F.col(d)), F.col(c))
+    texts = texts.select("*", some("_names", "_a", "_b").alias("_w"), some("_names", "_b", "_a").alias("_x"), some("_numbers", "_c", "_d").alias("_y"), some("_numbers", "_d", "_c").alias("_z"))
+    texts = text.with_ratio(text.with_ratio(texts, "_w", "_x", "_name"), "_y", "_z", "_invoice")
+    close = lambda ok, r, start, points: F.when(F.col(ok) & F.col(r).isNull(), points).when(F.col(r) > start, points * (F.col(r) - start) / (1 - start)).otherwise(0.0)
+    name = close("_names", "_name", NAME_FROM, NAME_EQUAL)
+    invoice = F.when(F.col("invoice") > 0, F.col("invoice")).otherwise(close("_numbers", "_invoice", INVOICE_FROM, INVOICE_CLOSE))
     out = texts.withColumn("name", name).withColumn("invoice", invoice)
     total = F.round(F.col("invoice") + F.col("gstin") + F.col("amount") + F.col("name") + F.col("date"), 6)
     return out.withColumn("score", total).where(F.col("score") >= min_score).select("left_id", "right_id", "score", "gstin", "amount", "date", "invoice", "name")
