@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import cut, ship
+from ..session import ship, store
 from . import tokens
 
 SEED = 20_260_610
@@ -137,14 +137,14 @@ class Mix:
         spark = documents.sparkSession
         ship(spark)
         self.plans, self.seed = _plans(plans), seed
-        self.counted = cut(tokens.count_corpus(documents, "doc_id", "source", folder=folder))
+        self.counted = store(tokens.count_corpus(documents, "doc_id", "source", folder=folder))
         ranked = self.counted.withColumn("hash", F.xxhash64("doc_id", F.lit(seed)))
         self.ranked = ranked.withColumn("bucket", F.pmod("hash", F.lit(RANK_BUCKETS)).cast("int"))
         buckets = self.ranked.groupBy("source", "n_tokens", "bucket").agg(F.count("*").alias("n"))
         before = Window.partitionBy("source", "n_tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         self.buckets = buckets.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
         self.lengths = buckets.groupBy("source", "n_tokens").agg(F.sum("n").alias("n"))
-        self.fitted = cut(self._fit())
+        self.fitted = store(self._fit())
 
     def _fit(self) -> DataFrame:
         corpus = self.counted.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("corpus_tokens"))
