@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import parse, text
-from ..session import cut, store
+from ..session import store
 
 # Points, bands and floor of the score.
 INVOICE_EQUAL, INVOICE_CLOSE, INVOICE_FROM = 40.0, 8.0, 0.85
@@ -358,7 +358,7 @@ def ranked(rows: DataFrame, *order: Column) -> DataFrame:
     """rows with their place in a global order, from 1. Rows are range-partitioned and counted, so no task sees all of them."""
     parts = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     parts = parts.withColumn("_p", F.spark_partition_id())
-    parts = cut(parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order))))
+    parts = store(parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order))))
     before = parts.groupBy("_p").agg(F.count("*").alias("n"))
     before = before.withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     return parts.join(F.broadcast(before), "_p").withColumn("place", F.col("_i") + F.col("_before")).drop("_p", "_i", "_before")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parse, text
-from ..session import cut, ship
+from ..session import ship, store
 from .validate import NUMERIC
 
 DATES = ("invoice_date", "itc_claimed_date", "rule88d_intimation_date", "supplier_filing_date", "simulated_current_date")
@@ -102,7 +102,7 @@ def clean_names(normalized: DataFrame, cleaner: Callable[[str], str], column: st
             yield pd.DataFrame(rows, columns=["_name", "_new", "name_status"])
 
     # Written before it is used twice: a second call of the cleaner might answer otherwise.
-    repaired = cut(messy.mapInPandas(run, "_name string, _new string, name_status string"))
+    repaired = store(messy.mapInPandas(run, "_name string, _new string, name_status string"))
     joined = normalized.join(repaired, F.col(column) == F.col("_name"), "left")
     out = joined.withColumn(column, F.coalesce("_new", column)).withColumn("name_status", F.coalesce("name_status", F.lit("not_needed"))).drop("_name", "_new")
     return out, repaired.groupBy("name_status").agg(F.count("*").alias("n"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import confidence, evidence, matching, normalize, rules, validate
-from ..session import cut
+from ..session import store
 from ..sources import logs
 from ..sources.tables import columns_of
 
@@ -63,24 +63,24 @@ def run(
     def stage(name: str, df: DataFrame) -> DataFrame:
         nonlocal began
         if timed:
-            df = cut(df)
+            df = store(df)
             seconds[name] = time.time() - began
             began = time.time()
         return df
 
     both = left.unionByName(right, allowMissingColumns=True)
     valid, invalid = validate.partition(both)
-    invalid = cut(invalid)
+    invalid = store(invalid)
     names = {s: columns_of(s) for s in {r["source"] for r in both.select("source").distinct().collect()}}
     source_left = left.select("source").limit(1).collect()
     source_left = source_left[0]["source"] if source_left else "purchase_register"
     normalized = normalize.normalize(valid)
     if cleaner:
         normalized, _ = normalize.clean_names(normalized, cleaner)
-    normalized = stage("validate_normalize", cut(normalized))
+    normalized = stage("validate_normalize", store(normalized))
     l, r = normalized.where(F.col("source") == source_left), normalized.where(F.col("source") != source_left)  # noqa: E741
     matched = matching.match(l, r, min_score)
-    matched.matches = stage("match", cut(matched.matches))
+    matched.matches = stage("match", store(matched.matches))
     found = stage("evidence", evidence.compare(matched.matches, l, r))
     extra = l.select(F.col("record_id").alias("left_id"), F.col("raw").alias("left_raw"), *[F.col(c) for c in ("itc_claimed_date", "rule88d_intimation_date", "simulated_current_date") if c in l.columns])
     records = found.join(extra, "left_id")
@@ -89,7 +89,7 @@ def run(
         records = records.withColumn("_number", F.col("evidence.invoice_number.left_value"))
         records = rules.with_presence(records, snapshot.select(F.col("invoice_id").alias("_number")), "_number", "in_snapshot").drop("_number")
     records = stage("rules", rules.with_checks(rules.classify(records, rule_set), rule_set))
-    decided = cut(confidence.decide(confidence.score(records, weights), threshold))
+    decided = store(confidence.decide(confidence.score(records, weights), threshold))
     if timed:
         seconds["gate"] = time.time() - began
         began = time.time()

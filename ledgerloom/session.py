@@ -40,13 +40,6 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df written to the shared folder, with a lineage that starts there. Runs a job now. For rows whose order within their
-    partitions counts; see store for all else."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the Python workers of the session's executors, once per application."""
     sc = spark.sparkContext
@@ -65,8 +58,8 @@ _shipped: dict[str, str] = {}
 
 
 def store(df: DataFrame) -> DataFrame:
-    """As cut, but as a compressed columnar table: smaller on disk, and later reads take only the columns they need. The
-    table is deleted when the driver ends. Runs a job now."""
+    """The rows of df written to the shared folder as a compressed columnar table, with a lineage that starts there: later reads take
+    only the columns they need, and joins know its size. The table is deleted when the driver ends. Runs a job now."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
