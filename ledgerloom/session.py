@@ -40,6 +40,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """As store, but as a checkpoint: for tables that joins should not take for small, as a compressed one may be broadcast though it
+    unpacks to many times its size. The session's cleaner deletes it where the cluster lets it. Runs a job now."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the Python workers of the session's executors, once per application."""
     sc = spark.sparkContext
