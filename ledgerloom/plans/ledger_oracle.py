@@ -149,7 +149,7 @@ SQL: dict[str, str] = {
     "evidence_deltas": f"with recursive {_EVIDENCE} select left_id, right_id, amount_delta::double as amount_delta, date_delta, tax_delta::double as tax_delta from e where found",
     "decisions": f"with recursive {_EVIDENCE} select left_id, confidence, outcome, rule_id from d",
     "outcome_counts": f"with recursive {_EVIDENCE} select o as outcome, count(d.outcome) as n from (values ('auto_reconcile'), ('classified_exception'), ('indeterminate')) v(o) left join d on d.outcome = o group by 1",
-    "match_rates": f"with recursive {_EVIDENCE}, t as (select {_TYPE} as t from d), n as (select count(*) filter (t = 'exact') as exact, count(*) filter (t = 'fuzzy') as fuzzy, count(*) filter (t = 'rule_classified') as rule_classified, count(*) filter (t = 'none') as \"none\", count(*) as total from t) select *, exact + fuzzy + rule_classified as resolved, coalesce((exact + fuzzy + rule_classified)::double / nullif(total, 0), 0.0) as rate from n",
+    "match_rates": f"with recursive {_EVIDENCE}, kinds as (select {_TYPE} as t from d), numbers as (select count(*) filter (t = 'exact') as exact, count(*) filter (t = 'fuzzy') as fuzzy, count(*) filter (t = 'rule_classified') as rule_classified, count(*) filter (t = 'none') as \"none\", count(*) as total from kinds) select *, exact + fuzzy + rule_classified as resolved, coalesce((exact + fuzzy + rule_classified)::double / nullif(total, 0), 0.0) as rate from numbers",
     "exceptions_by_category": f"with recursive {_EVIDENCE} select case rule_id when 'N1' then 'no_counterpart' when 'N2' then 'other_holder' else 'amount_differs' end as category, count(*) as n from d where outcome = 'classified_exception' group by 1",
     "confidence_summary": f"with recursive {_EVIDENCE} select outcome, count(*) as n, round(avg(confidence), 6) as mean, min(confidence) as least, max(confidence) as most from d group by rollup (outcome)",
     "confidence_histogram": f"with recursive {_EVIDENCE} select confidence, count(*) as n from d group by 1",
