@@ -62,6 +62,22 @@ def test_large_blocks_propose_numbers_two_characters_apart(spark, monkeypatch):
     assert ("l00", "r01") in want and ("l10", "r11") in want and ("l01", "r00") in want and got == pytest.approx(want)
 
 
+def test_sure_candidates_are_few_and_lose_no_pair(spark, sides):
+    """All pairs that reach the floor without texts, and of a supplier of many rows none that can't."""
+    left, right = sides
+    total = F.col("gstin") + F.col("amount") + F.col("date") + F.col("invoice")
+    sure = lambda pairs, x, y: {tuple(p) for p in matching.cheap_scores(pairs, x, y).where(total >= matching.MIN_SCORE).select("left_id", "right_id").collect()}
+    want = sure(matching.all_pairs(left, right), left, right)
+    assert len(want) > 100 and sure(matching.sure_candidates(left, right), left, right) == want
+    near = [("100", 0), ("102.04", 2), ("98", -2), ("98", -3), ("0.50", 0), ("-100", 1), ("-101.5", 2), ("0", 0), ("100.9", 90)]
+    rows = [{"id": str(i), "invoice": "", "gstin": "27AAPFU0939F1ZV", "holder": "AAPFU0939F", "amount": float(a), "date": date(2026, 4, 15) + timedelta(d), "words": ""} for i, (a, d) in enumerate(near)]
+    rows = spark.createDataFrame(rows, "id string, invoice string, gstin string, holder string, amount double, date date, words string")
+    want = sure(matching.all_pairs(rows, rows), rows, rows)
+    assert {("0", "1"), ("0", "2"), ("5", "6"), ("0", "8")} <= want and sure(matching.sure_candidates(rows, rows), rows, rows) == want
+    many = rows.where("id = '0'").crossJoin(spark.range(60).select(F.col("id").alias("n"))).withColumns({"id": F.col("n").cast("string"), "amount": F.col("amount") * F.exp(F.col("n") / 10)}).drop("n")
+    assert matching.candidate_pairs(many, many).count() == 3600 and matching.sure_candidates(many, many).count() == 60
+
+
 def greedy(rows):
     left, right, out = set(), set(), []
     for s, a, b in sorted((-s, a, b) for a, b, s in rows):
