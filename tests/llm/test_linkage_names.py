@@ -131,6 +131,31 @@ def test_a_supplier_of_thousands_links_as_if_all_pairs_were_listed(spark, linked
     assert not any(k == "QA" for k, _ in fast) and sum(k[0] == "Q" for k, _ in fast) > 40
 
 
+def test_results_do_not_depend_on_the_size_of_a_holder(spark, monkeypatch):
+    """With holders compared whole or by keys, and few or many counting as a crowd: cells blank, negative, turned or exchanged."""
+    rng = random.Random(21)
+    filed = [of_one_holder(1000 + 3 * i, date(2025, 4, 1) + timedelta(rng.randint(0, 60)), rng.choice([-1, 1, 1]) * rng.choice([0.5, 5000, rng.randint(100, 9000)])) for i in range(120)]
+    rows = []
+    for i in range(90):
+        f = dict(rng.choice(filed), record_id=f"P{i}")
+        serial = list(f["invoice_id"][9:])
+        x, y = rng.sample(range(4, 8), 2)
+        serial[x], serial[y] = serial[y], serial[x]
+        f["invoice_id"] = rng.choice([f["invoice_id"], f["invoice_id"][:9] + "".join(serial), "".join(serial), "BILL/1", None])
+        f["invoice_value"] = rng.choice([f["invoice_value"], f["taxable_value"], f"{float(f['invoice_value']) * 1.01:.2f}"])
+        rows.append(f | {c: None for c in ("invoice_date", "invoice_value") if rng.random() < 0.2})
+    filed = [f | {c: None for c in ("invoice_date", "invoice_value") if rng.random() < 0.1} for f in filed]
+    register, filed = frame(spark, rows, REGISTER_COLUMNS), frame(spark, filed, FILING_COLUMNS)
+    found = []
+    for whole, crowd, alike in ((10**9, 10**9, 10**9), (0, 3, 1)):
+        for name, value in (("WHOLE", whole), ("CROWD", crowd), ("ALIKE", alike)):
+            monkeypatch.setattr(linkage, name, value)
+        pairs, _ = linkage.candidates(*sides(register, filed), linkage.CROWD)
+        found.append((sorted(tuple(r) for r in pairs.collect()), confidences(register, filed)))
+    (pairs, links), (by_keys, links_by_keys) = found
+    assert by_keys == pairs and len(pairs) > 500 and links_by_keys == pytest.approx(links) and len(links) > 10
+
+
 def test_link_empty_and_threshold(linked):
     register, filed, _ = linked
     assert linkage.link(register.limit(0), filed).count() == 0 and linkage.link(register, filed.limit(0)).count() == 0
