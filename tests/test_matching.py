@@ -49,6 +49,19 @@ def test_candidates_lose_no_pair(sides, block, monkeypatch):
     assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("block", [1000, 3])
+def test_every_scored_pair_once_and_those_of_a_band_not_shuffled(sides, block, monkeypatch):
+    monkeypatch.setattr(matching, "BLOCK", block)
+    left, right = sides
+    a, b = ([r.asDict() for r in s.collect()] for s in sides)
+    want = {(x["id"], y["id"]): s for x in a for y in b if (s := plain_score(x, y)) >= 45}
+    rows = matching.every_scored_pair(left, right).collect()
+    assert len(rows) == len(want) and {(r["left_id"], r["right_id"]): r["score"] for r in rows} == pytest.approx(want)
+    # What meets in a band is never grouped or joined again.
+    plan = matching._scored(matching._banded(left, right), matching.MIN_SCORE)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Aggregate" not in plan
+
+
 def test_large_blocks_propose_numbers_two_characters_apart(spark, monkeypatch):
     monkeypatch.setattr(matching, "BLOCK", 3)
     numbers = [("INV251000009235", "INV-2510-00009235"), ("INV-2511-00000417", "INV251100000417"), ("A-2510-0000-0000-00007", "A2510000000000007X"), ("ACME-2510-000000-12345", "ACME2510000000-12345")]
