@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import linkage, names
+from ledgerloom.session import cut
 from ledgerloom.sources.tables import FILING_COLUMNS, REGISTER_COLUMNS
 
 from ..conftest import frame, ledger
@@ -247,3 +248,13 @@ def test_registered_queries_have_the_given_columns(spark):
     for name, columns in want.items():
         df = queries.QUERIES[name](spark, SMALL)
         assert df.columns == columns and df.count() > 0
+
+
+def test_the_size_that_a_table_is_taken_for_does_not_grow_with_the_rounds(spark):
+    """Else its digits double with each join of a round, until they fill the driver's memory."""
+    to = cut(spark.range(64).select("id", (F.col("id") / 2).cast("bigint").alias("into")))
+    for _ in range(6):
+        on = to.select(F.col("id").alias("into"), F.col("into").alias("further"))
+        to = cut(to.join(on, "into", "left").select("id", F.coalesce("further", "into").alias("into")))
+    assert {r["into"] for r in to.collect()} == {0}
+    assert to._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() <= 64
