@@ -90,6 +90,23 @@ def test_a_date_and_value_of_many_holders_finds_the_near_and_the_unknown_ones(sp
     assert got == {("near", filed[17]["invoice_id"]), ("near", filed[100]["invoice_id"]), ("third", filed[101]["invoice_id"])}
 
 
+@pytest.mark.parametrize("whole", [256, 0])
+def test_the_last_digits_of_a_long_number_agree_with_it(spark, linked, monkeypatch, whole):
+    """Serials grow with the data; clerks type the last five or six digits. The serial that is no longer than these is another invoice."""
+    register, filed, _ = linked
+    monkeypatch.setattr(linkage, "WHOLE", whole)
+    rng = random.Random(8)
+    long = [invoice(1_000_000 * (i + 1) + 50_123 + 2 * i, rng) for i in range(12)]
+    short = [invoice(50_123 + 2 * i, rng) for i in range(12)]
+    # Without date and value only number and holder tell.
+    rows = [dict(f, record_id=f"T{i}", invoice_id=f["invoice_id"][-5:] if i % 2 else f"INV-{f['invoice_id'][-6:]}", invoice_value=None, invoice_date=None) for i, f in enumerate(long)]
+    rows += [dict(short[0], record_id="T12", invoice_id=short[0]["invoice_id"][-5:], invoice_value=None)]
+    a, b, holders = sides(register.unionByName(frame(spark, rows, REGISTER_COLUMNS)), filed.unionByName(frame(spark, long + short, FILING_COLUMNS)))
+    name = {r["n"]: r["id"] for s in (a, b) for r in s.collect()}
+    got = {(name[r["a_n"]], name[r["b_n"]]) for r in linkage.candidates(a, b, holders)[0].where("number = 2 and holder = 2").collect()}
+    assert {(f"T{i}", f["invoice_id"]) for i, f in enumerate(long)} | {("T12", short[0]["invoice_id"])} <= got
+
+
 def of_one_holder(i, day, value):
     return ledger(record_id=f"B{i}", invoice_id=f"INV-{day:%y%m}-{i:08d}", invoice_date=str(day), invoice_value=f"{value:.2f}", taxable_value=f"{value / 1.18:.2f}")
 
