@@ -62,6 +62,20 @@ def test_every_scored_pair_once_and_those_of_a_band_not_shuffled(sides, block, m
     assert plan.count("Join") == 1 and "Aggregate" not in plan
 
 
+def test_keys_are_never_broadcast(sides, monkeypatch):
+    """A small file holds rows whose keys are many times its size; the driver would have to hold them all."""
+    monkeypatch.setattr(matching, "BLOCK", 3)
+    left, right = (matching.store(s) for s in sides)
+    for df in (matching.candidate_pairs(left, right), matching.candidate_pairs(left, right, matching.FAIR), matching._banded(left, right)):
+        lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        depth = lambda line: next(i for i, c in enumerate(line) if c.isalpha())
+        lines = [x for x in lines if any(c.isalpha() for c in x)]
+        for i, line in enumerate(lines):
+            if "BroadcastExchange" in line:
+                below = [x for j, x in enumerate(lines[i + 1 :], i + 1) if all(depth(y) > depth(line) for y in lines[i + 1 : j + 1])]
+                assert not [x for x in below if "Generate" in x]
+
+
 def test_large_blocks_propose_numbers_two_characters_apart(spark, monkeypatch):
     monkeypatch.setattr(matching, "BLOCK", 3)
     numbers = [("INV251000009235", "INV-2510-00009235"), ("INV-2511-00000417", "INV251100000417"), ("A-2510-0000-0000-00007", "A2510000000000007X"), ("ACME-2510-000000-12345", "ACME2510000000-12345")]
